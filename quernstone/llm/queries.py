@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernstone.llm import decontaminate, secret_ledger
 from quernstone.llm.staging import fresh_dir, table
 
 
@@ -25,6 +26,21 @@ def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(spark, path)
 
 
+def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_ledger.digest(secret_ledger.scan_versions(table(spark, sf_dir, "documents")))
+
+
+def op8_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op9_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernstone.llm.quality import judge
+
+    return judge(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quernstone.llm.packing import pack_documents
 
@@ -33,6 +49,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_orc": op1_token_orc,
+    "op7_secret_ledger": op7_secret_ledger,
+    "op8_positional_index": op8_positional_index,
+    "op9_divergence_rules": op9_divergence_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_secret_ledger": secret_ledger.ORACLE,
+    "op8_positional_index": decontaminate.ORACLE,
+}
