@@ -155,7 +155,7 @@ def _oracle() -> str:
     found, spans = [], []
     for i, (kind, pattern) in enumerate(base.items()):
         found.append(f"regexp_extract_all(t, '{pattern}') AS m{i}, regexp_split_to_array(t, '{pattern}') AS o{i}, list_transform(m{i}, lambda x: length(regexp_extract(x, '{pattern}', 1))) AS v{i}")
-        spans.append(f"list_filter(list_transform(range(1, len(m{i}) + 1), lambda k: {{'b': list_sum(list_transform(o{i}[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m{i}[1:k], lambda x: length(x))), 0) - v{i}[k], 'p': {i}, 'k': '{kind}', 'n': v{i}[k]}}), lambda z: z.n >= {least[kind]})")
+        spans.append(f"list_filter(list_transform(range(1, len(m{i}) + 1), lambda k: {{'b': list_sum(list_transform(o{i}[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m{i}[1:k - 1], lambda x: length(x))), 0), 'p': {i}, 'k': '{kind}', 'n': length(m{i}[k]), 'v': v{i}[k]}}), lambda z: z.v >= {least[kind]})")
     text = "list_transform({}, lambda z: z.k || ':' || CAST(z.b AS BIGINT) || ':' || CAST(z.b + z.n AS BIGINT))"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
