@@ -62,9 +62,8 @@ class PieceTable:
             self.entry[slot[won]] = entry[won]
             h, entry, slot = h[~won], entry[~won], (slot[~won] + 1) & mask
 
-    def add(self, h: np.ndarray, ids: list[list[int]]) -> None:
-        """``h``: distinct hashes that are not in the table."""
-        n = len(h)
+    def reserve(self, n: int) -> None:
+        """Make room for ``n`` more keys at a load of a half at most."""
         if (self.n + n) * 2 > 1 << self.bits:
             used = np.flatnonzero(self.keys)
             keys, entry = self.keys[used], self.entry[used]
@@ -73,6 +72,11 @@ class PieceTable:
             self.keys = np.zeros(1 << self.bits, np.uint64)
             self.entry = np.zeros(1 << self.bits, np.int32)
             self._place(keys, entry)
+
+    def add(self, h: np.ndarray, ids: list[list[int]]) -> None:
+        """``h``: distinct hashes that are not in the table."""
+        n = len(h)
+        self.reserve(n)
         count = np.fromiter(map(len, ids), np.int32, n)
         flat = np.fromiter((x for one in ids for x in one), np.int32, int(count.sum()))
         for name, used, extra in (("offset", self.n, n), ("count", self.n, n), ("flat", self.n_flat, len(flat))):

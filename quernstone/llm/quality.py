@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from quernstone.llm.staging import staged
 
 SPACES = r"[\x20\x09-\x0D]+"
-CLASSES = ("lower", "upper", "digit", "sign", "space", "beyond_ascii")
+CLASSES = ("lower", "upper", "sign", "space", "beyond_ascii")
 N_COMMON = 16
 COMMON_MOST_CHARS = 5
 
@@ -53,8 +53,8 @@ def repeated_words(words: Column, n: int = 5) -> Column:
 
 def class_counts(text: Column, word_chars: Column) -> list[Column]:
     """Characters of each of ``CLASSES``; the last counts UTF-8 bytes beyond one per character."""
-    upper, digit, sign = (F.regexp_count(text, F.lit(p)) for p in (r"[A-Z]", r"[0-9]", r"[!-/:-@\[-`{-~]"))
-    return [F.greatest(F.lit(0), word_chars - upper - digit - sign), upper, digit, sign, F.length(text) - word_chars, F.octet_length(text) - F.length(text)]
+    upper, sign = (F.regexp_count(text, F.lit(p)) for p in (r"[A-Z]", r"[!-@\[-`{-~]"))
+    return [F.greatest(F.lit(0), word_chars - upper - sign), upper, sign, F.length(text) - word_chars, F.octet_length(text) - F.length(text)]
 
 
 def shares(counts: Column) -> Column:
@@ -78,7 +78,7 @@ def references(docs: DataFrame, min_reference_words: int = 20_000) -> DataFrame:
     order = Window.partitionBy("lang").orderBy(F.desc("count"), "word")
     top = counted.where("word is not null").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= N_COMMON)
     common = top.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("rank", "word", "count"))).alias("top"))
-    chars = rows.withColumn("word_chars", F.length(F.array_join("words", ""))).select("lang", *(c.alias(k) for k, c in zip(CLASSES, class_counts(F.col("text"), F.col("word_chars")), strict=True)))
+    chars = rows.withColumn("word_chars", F.length("text") - F.regexp_count("text", F.lit(r"[\x20\x09-\x0D]"))).select("lang", *(c.alias(k) for k, c in zip(CLASSES, class_counts(F.col("text"), F.col("word_chars")), strict=True)))
     classes = chars.groupBy("lang").agg(*(F.sum(k).alias(k) for k in CLASSES))
     top_counts = F.transform("top", lambda x: x["count"])
     in_top = F.aggregate(top_counts, F.lit(0).cast("long"), lambda a, x: a + x)
@@ -100,7 +100,7 @@ def judge(docs: DataFrame, min_words: int = 50, most_class_distance: float = 0.2
     counts = F.array(*(c.cast("double") for c in class_counts(text, F.col("word_chars"))))
 
     def common_counts(words: Column) -> Column:
-        seen = F.filter(words, lambda w: F.array_contains(F.col("common"), w))
+        seen = F.filter(words, lambda w: (F.length(w) <= COMMON_MOST_CHARS) & F.array_contains(F.col("common"), w))
         each = let(seen, lambda s: F.concat(F.transform("common", lambda c: F.size(s) - F.size(F.array_remove(s, c))), F.array(F.size(words) - F.size(s))))
         return F.transform(each, lambda x: x.cast("double"))
 

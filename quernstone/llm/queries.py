@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import decontaminate, secret_ledger
+from quernstone.llm import block_anchors, decontaminate, secret_ledger
 from quernstone.llm.staging import fresh_dir, table
 
 
@@ -26,6 +26,16 @@ def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(spark, path)
 
 
+def op2_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernstone.llm.fst_counts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), limit=2048)
+
+
+def op6_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_anchors.deduplicate(table(spark, sf_dir, "documents"), window=35)
+
+
 def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.digest(secret_ledger.scan_versions(table(spark, sf_dir, "documents")))
 
@@ -49,12 +59,15 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_orc": op1_token_orc,
+    "op2_transducer_counts": op2_transducer_counts,
+    "op6_block_anchors": op6_block_anchors,
     "op7_secret_ledger": op7_secret_ledger,
     "op8_positional_index": op8_positional_index,
     "op9_divergence_rules": op9_divergence_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLES: dict[str, str] = {
+    "op6_block_anchors": block_anchors.ORACLE,
     "op7_secret_ledger": secret_ledger.ORACLE,
     "op8_positional_index": decontaminate.ORACLE,
 }
