@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import block_anchors, decontaminate, secret_ledger
+from quernstone.llm import block_anchors, decontaminate, secret_ledger, warc
 from quernstone.llm.staging import fresh_dir, table
 
 
@@ -32,6 +32,11 @@ def op2_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), limit=2048)
 
 
+def op3_warc_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"), fresh_dir(spark, "warc"), min_revisit_bytes=0)
+    return warc.read_archives(spark, manifest)
+
+
 def op6_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_anchors.deduplicate(table(spark, sf_dir, "documents"), window=35)
 
@@ -60,6 +65,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_orc": op1_token_orc,
     "op2_transducer_counts": op2_transducer_counts,
+    "op3_warc_reader": op3_warc_reader,
     "op6_block_anchors": op6_block_anchors,
     "op7_secret_ledger": op7_secret_ledger,
     "op8_positional_index": op8_positional_index,
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLES: dict[str, str] = {
+    "op3_warc_reader": warc.ORACLE,
     "op6_block_anchors": block_anchors.ORACLE,
     "op7_secret_ledger": secret_ledger.ORACLE,
     "op8_positional_index": decontaminate.ORACLE,
