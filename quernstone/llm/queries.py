@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import block_anchors, decontaminate, secret_ledger, warc
+from quernstone.llm import block_anchors, decontaminate, jaccard, secret_ledger, warc
 from quernstone.llm.staging import fresh_dir, table
 
 
@@ -37,6 +37,10 @@ def op3_warc_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, manifest)
 
 
+def op4_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_components(table(spark, sf_dir, "documents"), percent=80, width=5)
+
+
 def op6_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_anchors.deduplicate(table(spark, sf_dir, "documents"), window=35)
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_orc": op1_token_orc,
     "op2_transducer_counts": op2_transducer_counts,
     "op3_warc_reader": op3_warc_reader,
+    "op4_grouped_prefix_join": op4_grouped_prefix_join,
     "op6_block_anchors": op6_block_anchors,
     "op7_secret_ledger": op7_secret_ledger,
     "op8_positional_index": op8_positional_index,
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op3_warc_reader": warc.ORACLE,
+    "op4_grouped_prefix_join": jaccard.ORACLE,
     "op6_block_anchors": block_anchors.ORACLE,
     "op7_secret_ledger": secret_ledger.ORACLE,
     "op8_positional_index": decontaminate.ORACLE,
