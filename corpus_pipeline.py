@@ -1,8 +1,59 @@
-"""A corpus pipeline of five stages, each written and reread as Parquet."""
+"""A corpus pipeline of five stages, each written as Parquet and reread by the next.
 
-STAGES: list = []
+Quality rules drop what they reject; of each group of near-duplicates the document with the smallest id stays; documents that
+hold a benchmark passage are dropped; secrets are masked in place; what is left is packed into sequences.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quernstone.llm import decontaminate, jaccard, packing, quality, secret_ledger
+from quernstone.llm.queries import vocabulary
+from quernstone.llm.staging import staged, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.judge(docs, keep=tuple(docs.columns)).where("kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component stays: the one with the smallest id, once."""
+    found = jaccard.similar_components(docs, percent=80, width=5)
+    stays = staged(found.where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("stays")).distinct(), "stays")
+    kept = docs.join(stays, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
+    return kept.select(*docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
+    return found.where("not contaminated").select(*docs.columns)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secret_ledger.redact(docs).select(*docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), end_id=0)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("secret_scan", secret_scan),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: Packing is a greedy online algorithm and has no SQL form; the tests hold every stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -41,6 +41,12 @@ def op4_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_components(table(spark, sf_dir, "documents"), percent=80, width=5)
 
 
+def op5_skip_chain_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernstone.llm.pii import find_personal_data
+
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op6_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_anchors.deduplicate(table(spark, sf_dir, "documents"), window=35)
 
@@ -71,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_transducer_counts": op2_transducer_counts,
     "op3_warc_reader": op3_warc_reader,
     "op4_grouped_prefix_join": op4_grouped_prefix_join,
+    "op5_skip_chain_crf": op5_skip_chain_crf,
     "op6_block_anchors": op6_block_anchors,
     "op7_secret_ledger": op7_secret_ledger,
     "op8_positional_index": op8_positional_index,
