@@ -37,7 +37,7 @@ from quernstone.llm.staging import bounded_batches, staged
 from quernstone.llm.wordhash import shingle_sets
 
 _CELL_BITS, _SEGMENTS = 20, 64
-_SCAN = "kind int, doc_id long, node binary, grp long, n long, live int, tokens array<long>, places array<int>, members binary"
+_SCAN = "kind int, doc_id long, node binary, grp long, n long, live int, tokens array<long>, places array<int>"
 
 
 def _order_sketch(texts: DataFrame, width: int) -> np.ndarray:
@@ -83,6 +83,28 @@ def _group(prefix: np.ndarray, n: int) -> np.uint64:
     return mix(np.array([int(np.sum(mix(prefix + np.uint64(n)), dtype=np.uint64))], np.uint64))[0]
 
 
+def _node(members: np.ndarray) -> bytes:
+    """A set's name: equal sets are one node."""
+    return hashlib.blake2b(members.tobytes(), digest_size=16).digest()
+
+
+def _sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """``node, members`` of the wanted nodes, each once. A fixed-size bitmap thins the scan, a semi-join makes it exact."""
+    key = F.conv(F.substring(F.hex("node"), 1, 15), 16, 10).cast("long")
+    shared = rows.sparkSession.sparkContext.broadcast(repeated.value_map(wanted.select(F.shiftleft(key, 4).alias("key")), "key"))  # 16 MB at any input size
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, unit in repeated.in_units(batches, 1):
+            found = {_node(members): members for members in shingle_sets(unit, width) if len(members)}
+            names = list(found)
+            pick = repeated.passes(shared.value, np.array([int.from_bytes(x[:8], "big") for x in names], np.uint64)) if names else []
+            take = [x for x, p in zip(names, pick, strict=True) if p]
+            for k in range(0, len(take), 500):
+                yield pa.RecordBatch.from_arrays([pa.array(take[k : k + 500], pa.binary()), pa.array([found[x].tobytes() for x in take[k : k + 500]], pa.binary())], ["node", "members"])
+
+    return rows.mapInArrow(scan, "node binary, members binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+
+
 def similar_components(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """Per row: ``doc_id, n_shingles, component_id``."""
     spark = docs.sparkSession
@@ -105,43 +127,38 @@ def similar_components(docs: DataFrame, percent: int = 80, width: int = 5) -> Da
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prefixes = _Prefixes(order.value, percent)
         names = [x.split()[0] for x in _SCAN.split(", ")]
-        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
+        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()))
         for batch, unit in repeated.in_units(batches, 1):
             out: list[tuple] = []
             groups: set[int] = set()
-            nodes: set[bytes] = set()
             for doc, members in zip(batch.column(0).to_pylist(), shingle_sets(unit, width), strict=True):
                 n = len(members)
                 if not n:
-                    out.append((0, doc, None, None, 0, 0, None, None, None))
+                    out.append((0, doc, None, None, 0, 0, None, None))
                     continue
                 prefix = prefixes.of(members)
-                raw = members.tobytes()
-                node, group = hashlib.blake2b(raw, digest_size=16).digest(), int(_group(prefix, n).astype(np.int64))
+                node, group = _node(members), int(_group(prefix, n).astype(np.int64))
                 place = np.flatnonzero(repeated.passes(shared.value, prefix))
-                out.append((0, doc, node, group, n, len(place), None, None, None))
+                out.append((0, doc, node, group, n, len(place), None, None))
                 if len(place) and group not in groups:
                     groups.add(group)
-                    out.append((1, None, None, group, n, len(place), prefix[place].astype(np.int64), place.astype(np.int32), None))
-                if len(place) and node not in nodes:
-                    nodes.add(node)
-                    out.append((2, None, node, group, n, len(place), None, None, raw))
+                    out.append((1, None, None, group, n, len(place), prefix[place].astype(np.int64), place.astype(np.int32)))
             for k in range(0, len(out), 2000):
                 columns = zip(*out[k : k + 2000], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names)
 
     scanned = staged(rows.mapInArrow(scan, _SCAN), "shingled")
     own = scanned.where("kind = 0").select("doc_id", "node", "n")
-    sets = scanned.where("kind = 2").select("node", "grp", "n", "members")
-    nodes = staged(sets.select("node", "grp", "n").distinct(), "nodes")
-
-    staged_sets = staged(sets.select("node", "members").dropDuplicates(["node"]), "sets")
-
     listed = scanned.where("kind = 1").select("grp", "n", (F.col("live") / F.greatest(F.lit(1), F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).alias("common"), F.explode(F.arrays_zip("tokens", "places")).alias("t"))
     listed = listed.select(F.col("t.tokens").alias("token"), F.struct((-F.col("common")).alias("rank"), "grp", "n", F.col("t.places").alias("place")).alias("g"))
     # An index list counts if it has two groups; its pivot is the group with most shared prefix shingles.
     heads = listed.groupBy("token").agg(F.min("g").alias("pivot"), F.min("g.grp").alias("least"), F.max("g.grp").alias("most")).where("least < most").select("token", "pivot")
     lists = staged(listed.join(heads, "token").select("token", "pivot", "g").distinct(), "lists")
+    every = scanned.where("kind = 0 and node is not null").select("grp", "node").distinct()
+    several = every.groupBy("grp").count().where("count > 1").select("grp")
+    joined = staged(lists.select(F.col("g.grp").alias("grp")).union(several).distinct(), "groups")
+    nodes = staged(every.join(joined, "grp", "left_semi"), "nodes")
+    sets = staged(_sets(rows, nodes.select("node"), width), "sets")
 
     def fits(x: str, y: str) -> str:
         """The size filter, and the position filter as it holds for the first shared shingle."""
@@ -169,15 +186,14 @@ def similar_components(docs: DataFrame, percent: int = 80, width: int = 5) -> Da
                     keep.append(100 * both >= percent * (len(p) + len(q) - both))
                 yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-        one = staged_sets
-        a = one.select(F.col("node").alias("a"), F.col("members").alias("set_a"))
-        b = one.select(F.col("node").alias("b"), F.col("members").alias("set_b"))
+        a = sets.select(F.col("node").alias("a"), F.col("members").alias("set_a"))
+        b = sets.select(F.col("node").alias("b"), F.col("members").alias("set_b"))
         return staged(pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(check, "a binary, b binary"), "edges")
 
     stars = lists.select("pivot", "g").where("pivot.grp <> g.grp").where(fits("pivot", "g")).select(F.col("pivot.grp").alias("ga"), F.col("g.grp").alias("gb")).distinct()
-    several = nodes.groupBy("grp").count().where("count > 1").select(F.col("grp").alias("ga"), F.col("grp").alias("gb"))
+    inside = several.select(F.col("grp").alias("ga"), F.col("grp").alias("gb"))
     first = nodes.groupBy("grp").agg(F.min("node").alias("node"))
-    edges = verify(expand(stars.unionByName(several), first, nodes))
+    edges = verify(expand(stars.unionByName(inside), first, nodes))
 
     labels = staged(connected_components(edges), "labels")
     labelled = staged(nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 BUCKET_BITS = 8
 #: The bitmap's fixed size: 2**27 bits are 16 MB.
@@ -59,11 +60,27 @@ def repeated_map(sent: DataFrame, choose: bool) -> np.ndarray:
         bits[(again >> np.uint64(40 - MAP_BITS + BUCKET_BITS)).astype(np.int64)] = True
         return pa.table({"bucket": group.column("bucket")[:1], "bits": pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())})
 
-    found = sent.groupBy("bucket").applyInArrow(meet, "bucket int, bits binary").collect()  # fixed size: the bitmap
-    segment = 1 << (MAP_BITS - BUCKET_BITS - 3)
-    out = np.zeros(segment << BUCKET_BITS, np.uint8)
-    for row in found:
-        out[row.bucket * segment : (row.bucket + 1) * segment] = np.frombuffer(zlib.decompress(row.bits), np.uint8)
+    return _assembled(sent.groupBy("bucket").applyInArrow(meet, "bucket int, bits binary"))
+
+
+def value_map(values: DataFrame, column: str) -> np.ndarray:
+    """The bitmap of all values of a long column."""
+
+    def meet(group: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << (MAP_BITS - BUCKET_BITS), bool)
+        held = np.asarray(group.column("value")).view(np.uint64) << np.uint64(BUCKET_BITS)
+        bits[(held >> np.uint64(64 - MAP_BITS + BUCKET_BITS)).astype(np.int64)] = True
+        return pa.table({"bucket": group.column("bucket")[:1], "bits": pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())})
+
+    held = values.select(F.shiftrightunsigned(column, 64 - BUCKET_BITS).cast("int").alias("bucket"), F.col(column).alias("value"))
+    return _assembled(held.groupBy("bucket").applyInArrow(meet, "bucket int, bits binary"))
+
+
+def _assembled(segments: DataFrame) -> np.ndarray:
+    size = 1 << (MAP_BITS - BUCKET_BITS - 3)
+    out = np.zeros(size << BUCKET_BITS, np.uint8)
+    for row in segments.collect():  # fixed size: the bitmap
+        out[row.bucket * size : (row.bucket + 1) * size] = np.frombuffer(zlib.decompress(row.bits), np.uint8)
     return out
 
 
@@ -72,7 +89,7 @@ def passes(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & np.uint8(1) > 0
 
 
-def in_units(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 16 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def in_units(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Batches gathered into units of about ``most_bytes`` of text, with their texts as bytes (null: empty)."""
     held: list[pa.RecordBatch] = []
     size = 0

@@ -15,7 +15,16 @@ _FOLD[65:91] += 32
 
 
 def hashed_words(texts: list[bytes], fold: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word ``[^\\x20\\x09-\\x0D]+`` of all texts in a row, and where each text's words begin (and the end)."""
+    """Hash of each word ``[^\\x20\\x09-\\x0D]+`` of all texts in a row, and where each text's words begin (and the end).
+
+    Bytes are taken a slice at a time, so that the arrays by byte stay small.
+    """
+    parts = [_hashed_slice(texts[a:b], fold) for a, b in slices(texts, 1 << 20)]
+    words = np.concatenate([np.zeros(0, np.uint64), *(w for w, _ in parts)])
+    return words, np.concatenate([np.zeros(1, np.int64), np.cumsum(np.concatenate([np.zeros(0, np.int64), *(np.diff(c) for _, c in parts)]))])
+
+
+def _hashed_slice(texts: list[bytes], fold: bool) -> tuple[np.ndarray, np.ndarray]:
     joined = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     gap = _GAP[joined]
     step = np.flatnonzero(gap[1:] != gap[:-1]) + 1
@@ -38,7 +47,7 @@ def windows(words: np.ndarray, cut: np.ndarray, width: int) -> tuple[np.ndarray,
 
 def shingle_sets(texts: list[bytes], width: int = 5) -> Iterator[np.ndarray]:
     """Each text's sorted distinct shingle hashes: lower-cased windows, or its whole sequence if it has fewer words."""
-    for a, b in slices(texts, 4 << 20):
+    for a, b in slices(texts, 1 << 20):
         words, cut = hashed_words(texts[a:b], True)
         at, h = windows(words, cut, width)
         where = np.searchsorted(at, cut)
