@@ -45,6 +45,14 @@ def _covered(at: np.ndarray, n: int, width: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+def _among(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted array."""
+    if not len(ascending):
+        return np.zeros(len(values), bool)
+    at = np.searchsorted(ascending, values)
+    return ascending[np.minimum(at, len(ascending) - 1)] == values
+
+
 def deduplicate(docs: DataFrame, window: int = 35, keep_text: bool = False) -> DataFrame:
     """Per row: ``doc_id, n_words, n_removed, kept_sha256`` and, with ``keep_text``, the kept words."""
     spark = docs.sparkSession
@@ -97,7 +105,7 @@ def deduplicate(docs: DataFrame, window: int = 35, keep_text: bool = False) -> D
         sent = [np.frombuffer(x, "<u8") for x in group.column("hashes").to_pylist()]
         every = np.sort(np.concatenate(sent))
         again = np.union1d(every[1:][every[1:] == every[:-1]], np.concatenate([np.frombuffer(x, "<u8") for x in group.column("twice").to_pylist()]))
-        back = [x[np.isin(x, again)] for x in sent]
+        back = [x[_among(x, again)] for x in sent]
         return pa.table({"unit": group.column("unit"), "hashes": pa.array([x.tobytes() for x in back], pa.binary())})
 
     found = scanned.where("bucket is not null").select("bucket", "unit", "hashes", "twice").groupBy("bucket").applyInArrow(meet, "unit long, hashes binary").where("length(hashes) > 0")
@@ -108,7 +116,7 @@ def deduplicate(docs: DataFrame, window: int = 35, keep_text: bool = False) -> D
         for doc, text in zip(texts.column("doc_id").to_pylist(), texts.column("text").to_pylist(), strict=True):
             hashed, cut = hashed_words([text], False)
             at, h = windows(hashed, cut, window)
-            gone = _covered(at[np.isin(h, again)], len(hashed), window)
+            gone = _covered(at[_among(h, again)], len(hashed), window)
             left = [w for w, g in zip(text.split(), gone.tolist(), strict=True) if not g]
             for column, value in zip(out, (doc, len(hashed), int(gone.sum()), _digest(left), b" ".join(left).decode() if keep_text else None), strict=True):
                 column.append(value)

@@ -156,9 +156,8 @@ def similar_components(docs: DataFrame, percent: int = 80, width: int = 5) -> Da
     lists = staged(listed.join(heads, "token").select("token", "pivot", "g").distinct(), "lists")
     every = scanned.where("kind = 0 and node is not null").select("grp", "node").distinct()
     several = every.groupBy("grp").count().where("count > 1").select("grp")
-    joined = staged(lists.select(F.col("g.grp").alias("grp")).union(several).distinct(), "groups")
+    joined = lists.select(F.col("g.grp").alias("grp")).union(several).distinct()
     nodes = staged(every.join(joined, "grp", "left_semi"), "nodes")
-    sets = staged(_sets(rows, nodes.select("node"), width), "sets")
 
     def fits(x: str, y: str) -> str:
         """The size filter, and the position filter as it holds for the first shared shingle."""
@@ -175,7 +174,10 @@ def similar_components(docs: DataFrame, percent: int = 80, width: int = 5) -> Da
         return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def verify(pairs: DataFrame) -> DataFrame:
-        """Pairs whose whole sets are similar."""
+        """Pairs whose whole sets are similar; the sets of nodes in pairs are made from their texts anew."""
+        pairs = staged(pairs, "pairs")
+        if pairs.isEmpty():
+            return pairs
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -186,6 +188,7 @@ def similar_components(docs: DataFrame, percent: int = 80, width: int = 5) -> Da
                     keep.append(100 * both >= percent * (len(p) + len(q) - both))
                 yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
+        sets = staged(_sets(rows, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), width), "sets")
         a = sets.select(F.col("node").alias("a"), F.col("members").alias("set_a"))
         b = sets.select(F.col("node").alias("b"), F.col("members").alias("set_b"))
         return staged(pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(check, "a binary, b binary"), "edges")
