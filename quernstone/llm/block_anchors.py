@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm import repeated
-from quernstone.llm.staging import bounded_batches, staged
+from quernstone.llm.staging import bounded_batches, release, staged
 from quernstone.llm.wordhash import hashed_words, windows
 
 _SCAN = "doc_id long, n_words long, kept_sha256 string, kept string, text binary, unit long, bucket int, hashes binary, twice binary"
@@ -68,6 +68,7 @@ def deduplicate(docs: DataFrame, window: int = 35, keep_text: bool = False) -> D
             yield repeated.blobs(h, h[place % block == 0])
 
     anchors = repeated.repeated_map(rows.mapInArrow(probe, repeated.BLOBS), True)
+    release(spark)
     shared = spark.sparkContext.broadcast(anchors)  # 16 MB at any input size
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from quernstone.llm import repeated
 from quernstone.llm.codepoints import mix
 from quernstone.llm.components import connected_components
-from quernstone.llm.staging import bounded_batches, staged
+from quernstone.llm.staging import bounded_batches, discard, release, staged
 from quernstone.llm.wordhash import shingle_sets
 
 _CELL_BITS, _SEGMENTS = 20, 64
@@ -147,6 +147,7 @@ def similar_components(docs: DataFrame, percent: int = 80, width: int = 5) -> Da
                 columns = zip(*out[k : k + 2000], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names)
 
+    release(spark)
     scanned = staged(rows.mapInArrow(scan, _SCAN), "shingled")
     own = scanned.where("kind = 0").select("doc_id", "node", "n")
     listed = scanned.where("kind = 1").select("grp", "n", (F.col("live") / F.greatest(F.lit(1), F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).alias("common"), F.explode(F.arrays_zip("tokens", "places")).alias("t"))
@@ -191,7 +192,11 @@ def similar_components(docs: DataFrame, percent: int = 80, width: int = 5) -> Da
         sets = staged(_sets(rows, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), width), "sets")
         a = sets.select(F.col("node").alias("a"), F.col("members").alias("set_a"))
         b = sets.select(F.col("node").alias("b"), F.col("members").alias("set_b"))
-        return staged(pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(check, "a binary, b binary"), "edges")
+        edges = staged(pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(check, "a binary, b binary"), "edges")
+        for done in (sets, pairs):
+            discard(done, spark)
+        release(spark)
+        return edges
 
     stars = lists.select("pivot", "g").where("pivot.grp <> g.grp").where(fits("pivot", "g")).select(F.col("pivot.grp").alias("ga"), F.col("g.grp").alias("gb")).distinct()
     inside = several.select(F.col("grp").alias("ga"), F.col("grp").alias("gb"))
