@@ -32,23 +32,25 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
-def repeated_words(words: Column, n: int = 5) -> Column:
-    """Words inside ``n``-word windows that occur twice or more in ``words``."""
-    none = F.lit(0).cast("long")
+def window_hashes(words: Column, n: int = 5) -> Column:
+    """A hash of each window of ``n`` words, in order."""
+    starts = F.slice(words, 1, F.greatest(F.lit(0), F.size(words) - (n - 1)))
+    return F.transform(starts, lambda w, i: F.xxhash64(w, *(F.get(words, i + k) for k in range(1, n))))
 
-    def covered(hashes: Column) -> Column:
-        ranked = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
-        def places(r: Column) -> Column:
-            same = lambda x, k: F.coalesce(F.get(r, k)["h"] == x["h"], F.lit(False))
-            return F.array_sort(F.transform(F.filter(r, lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"]))
+def repeated_words(hashes: Column, n: int = 5) -> Column:
+    """Words inside ``n``-word windows that occur twice or more, by the windows' ``hashes``. A column given by name is quickest here."""
+    none = F.lit(0).cast("long")
+    ranked = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
-        start = F.struct(none.alias("total"), none.alias("end"))
-        step = lambda s, p: F.struct((s["total"] + p + n - F.greatest(s["end"], p.cast("long"))).alias("total"), (p + n).cast("long").alias("end"))
-        return F.aggregate(let(ranked, places), start, step, lambda s: s["total"])
+    def places(r: Column) -> Column:
+        same = lambda x, k: F.coalesce(F.get(r, k)["h"] == x["h"], F.lit(False))
+        return F.array_sort(F.transform(F.filter(r, lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"]))
 
-    hashes = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.xxhash64(F.slice(words, i, n)))
-    return F.when(F.size(words) < n, none).otherwise(let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), none).otherwise(covered(h))))
+    start = F.struct(none.alias("total"), none.alias("end"))
+    step = lambda s, p: F.struct((s["total"] + p + n - F.greatest(s["end"], p.cast("long"))).alias("total"), (p + n).cast("long").alias("end"))
+    covered = F.aggregate(let(ranked, places), start, step, lambda s: s["total"])
+    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), none).otherwise(covered)
 
 
 def class_counts(text: Column, word_chars: Column) -> list[Column]:
@@ -109,14 +111,15 @@ def judge(docs: DataFrame, min_words: int = 50, most_class_distance: float = 0.2
         lambda w: F.struct(
             F.size(w).cast("long").alias("n_words"),
             F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-            repeated_words(w).alias("n_repeat_words"),
+            window_hashes(w).alias("windows"),
             F.when(F.col("common").isNotNull() & (F.size(w) >= min_words), js_distance(shares(common_counts(w)), F.col("ref_common"))).alias("common_distance"),
         ),
     )
     out = rows.select(*keep, "own_text", "ref_classes", F.inline(features))
     far = F.coalesce(F.col("class_distance") > most_class_distance, F.lit(False)) | F.coalesce(F.col("common_distance") > most_common_distance, F.lit(False))
     return (
-        out.withColumn("n_symbols", F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"))
+        out.withColumn("n_repeat_words", repeated_words(F.col("windows")))
+        .withColumn("n_symbols", F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"))
         .withColumn("n_dup_lines", let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"))
         .withColumn("class_distance", F.when(F.col("ref_classes").isNotNull() & (F.col("n_words") >= min_words), js_distance(shares(counts), F.col("ref_classes"))))
         .withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
