@@ -179,6 +179,7 @@ def similar_components(docs: DataFrame, percent: int = 80, width: int = 5) -> Da
         pairs = staged(pairs, "pairs")
         if pairs.isEmpty():
             return pairs
+        release(spark)
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -190,6 +191,7 @@ def similar_components(docs: DataFrame, percent: int = 80, width: int = 5) -> Da
                 yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
         sets = staged(_sets(rows, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), width), "sets")
+        release(spark)
         a = sets.select(F.col("node").alias("a"), F.col("members").alias("set_a"))
         b = sets.select(F.col("node").alias("b"), F.col("members").alias("set_b"))
         edges = staged(pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(check, "a binary, b binary"), "edges")
