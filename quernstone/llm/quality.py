@@ -71,57 +71,64 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)))
 
 
-def references(docs: DataFrame, min_reference_words: int = 20_000) -> DataFrame:
-    """Per language: ``lang, ref_classes, ref_common, common`` over all documents."""
-    rows = docs.where("lang is not null").select("lang", F.coalesce("text", F.lit("")).alias("text")).withColumn("words", words_of(F.col("text")))
-    word = rows.select("lang", F.explode("words").alias("word"))
-    counted = staged(word.groupBy("lang", F.when(F.length("word") <= COMMON_MOST_CHARS, F.col("word")).alias("word")).count(), "words")
-    total = counted.groupBy("lang").agg(F.sum("count").alias("n_words")).where(F.col("n_words") >= min_reference_words)
-    order = Window.partitionBy("lang").orderBy(F.desc("count"), "word")
-    top = counted.where("word is not null").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= N_COMMON)
-    common = top.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("rank", "word", "count"))).alias("top"))
-    chars = rows.withColumn("word_chars", F.length("text") - F.regexp_count("text", F.lit(r"[\x20\x09-\x0D]"))).select("lang", *(c.alias(k) for k, c in zip(CLASSES, class_counts(F.col("text"), F.col("word_chars")), strict=True)))
-    classes = chars.groupBy("lang").agg(*(F.sum(k).alias(k) for k in CLASSES))
-    top_counts = F.transform("top", lambda x: x["count"])
-    in_top = F.aggregate(top_counts, F.lit(0).cast("long"), lambda a, x: a + x)
-    return total.join(common, "lang").join(classes, "lang").select(
-        "lang",
-        shares(F.array(*(F.col(k).cast("double") for k in CLASSES))).alias("ref_classes"),
-        shares(F.transform(F.concat(top_counts, F.array(F.col("n_words") - in_top)), lambda x: x.cast("double"))).alias("ref_common"),
-        F.transform("top", lambda x: x["word"]).alias("common"),
-    )
-
-
-def judge(docs: DataFrame, min_words: int = 50, most_class_distance: float = 0.26, most_common_distance: float = 0.43, min_reference_words: int = 20_000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Per row: ``keep`` and ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, common_distance, kept``."""
-    refs = staged(references(docs, min_reference_words), "references")
-    refs = refs.withColumnRenamed("lang", "ref_lang")
-    rows = docs.select(*keep, F.col("lang").alias("own_lang"), F.coalesce("text", F.lit("")).alias("own_text")).join(refs, F.col("own_lang") == F.col("ref_lang"), "left")
+def features(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """Per row: ``keep``, ``own_lang``, the counts, ``classes`` and the words of up to ``COMMON_MOST_CHARS`` characters. One pass over the texts."""
     text = F.col("own_text")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    counts = F.array(*(c.cast("double") for c in class_counts(text, F.col("word_chars"))))
-
-    def common_counts(words: Column) -> Column:
-        seen = F.filter(words, lambda w: (F.length(w) <= COMMON_MOST_CHARS) & F.array_contains(F.col("common"), w))
-        each = let(seen, lambda s: F.concat(F.transform("common", lambda c: F.size(s) - F.size(F.array_remove(s, c))), F.array(F.size(words) - F.size(s))))
-        return F.transform(each, lambda x: x.cast("double"))
-
-    features = F.transform(
+    by_words = F.transform(
         F.array(words_of(text)),
         lambda w: F.struct(
             F.size(w).cast("long").alias("n_words"),
             F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
             window_hashes(w).alias("windows"),
-            F.when(F.col("common").isNotNull() & (F.size(w) >= min_words), js_distance(shares(common_counts(w)), F.col("ref_common"))).alias("common_distance"),
+            F.filter(w, lambda x: F.length(x) <= COMMON_MOST_CHARS).alias("short"),
         ),
     )
-    out = rows.select(*keep, "own_text", "ref_classes", F.inline(features))
+    rows = docs.select(*keep, F.col("lang").alias("own_lang"), F.coalesce("text", F.lit("")).alias("own_text"))
+    return rows.select(*keep, "own_lang", "own_text", F.inline(by_words)).select(
+        *keep,
+        "own_lang",
+        "n_words",
+        "word_chars",
+        F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        repeated_words(F.col("windows")).alias("n_repeat_words"),
+        F.array(*(c.cast("long") for c in class_counts(text, F.col("word_chars")))).alias("classes"),
+        "short",
+    )
+
+
+def references(found: DataFrame, min_reference_words: int = 20_000) -> DataFrame:
+    """Per language: ``ref_lang, ref_classes, ref_common, common`` over all documents, from their features."""
+    rows = found.where("own_lang is not null")
+    sums = rows.groupBy("own_lang").agg(F.sum("n_words").alias("n_words"), *(F.sum(F.get("classes", F.lit(k))).alias(name) for k, name in enumerate(CLASSES)))
+    counted = rows.select("own_lang", F.explode("short").alias("word")).groupBy("own_lang", "word").count()
+    order = Window.partitionBy("own_lang").orderBy(F.desc("count"), "word")
+    top = counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= N_COMMON)
+    common = top.groupBy("own_lang").agg(F.array_sort(F.collect_list(F.struct("rank", "word", "count"))).alias("top"))
+    top_counts = F.transform("top", lambda x: x["count"])
+    in_top = F.aggregate(top_counts, F.lit(0).cast("long"), lambda a, x: a + x)
+    return sums.where(F.col("n_words") >= min_reference_words).join(common, "own_lang").select(
+        F.col("own_lang").alias("ref_lang"),
+        shares(F.array(*(F.col(k).cast("double") for k in CLASSES))).alias("ref_classes"),
+        shares(F.transform(F.concat(top_counts, F.array(F.col("n_words") - in_top)), lambda x: x.cast("double"))).alias("ref_common"),
+        F.transform("top", lambda x: x["word"]).alias("common"),
+    )
+
+
+def judge(docs: DataFrame, min_words: int = 50, most_class_distance: float = 0.26, most_common_distance: float = 0.43, min_reference_words: int = 20_000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Per row: ``keep`` and ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_distance, common_distance``."""
+    found = staged(features(docs, keep), "features")
+    refs = staged(references(found, min_reference_words), "references")
+    seen = F.filter("short", lambda w: F.array_contains(F.col("common"), w))
+    each = let(seen, lambda s: F.concat(F.transform("common", lambda c: F.size(s) - F.size(F.array_remove(s, c))), F.array(F.col("n_words").cast("int") - F.size(s))))
+    measured = F.col("ref_lang").isNotNull() & (F.col("n_words") >= min_words)
     far = F.coalesce(F.col("class_distance") > most_class_distance, F.lit(False)) | F.coalesce(F.col("common_distance") > most_common_distance, F.lit(False))
+    doubles = lambda counts: F.transform(counts, lambda x: x.cast("double"))
     return (
-        out.withColumn("n_repeat_words", repeated_words(F.col("windows")))
-        .withColumn("n_symbols", F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"))
-        .withColumn("n_dup_lines", let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-        .withColumn("class_distance", F.when(F.col("ref_classes").isNotNull() & (F.col("n_words") >= min_words), js_distance(shares(counts), F.col("ref_classes"))))
+        found.join(refs, F.col("own_lang") == F.col("ref_lang"), "left")
+        .withColumn("class_distance", F.when(measured, js_distance(shares(doubles("classes")), F.col("ref_classes"))))
+        .withColumn("common_distance", F.when(measured, js_distance(shares(doubles(each)), F.col("ref_common"))))
         .withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
         .withColumn("kept", ~F.col("base_failed") & ~far)
         .select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "common_distance")
