@@ -6,7 +6,7 @@ hold a benchmark passage are dropped; secrets are masked in place; what is left
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.llm import decontaminate, jaccard, packing, quality, secret_ledger
@@ -14,21 +14,28 @@ from quernstone.llm.queries import vocabulary
 from quernstone.llm.staging import staged, table
 
 
+def _packed(docs: DataFrame) -> Column:
+    """Whole rows as one column, since a table's other columns may have any names."""
+    return F.struct(*docs.columns).alias("document")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.judge(docs, keep=tuple(docs.columns)).where("kept").select(*docs.columns)
+    rows = docs.select("text", "lang", _packed(docs))
+    return quality.judge(rows, keep=("document",)).where("kept").select("document.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays: the one with the smallest id, once."""
     found = jaccard.similar_components(docs, percent=80, width=5)
     stays = staged(found.where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("stays")).distinct(), "stays")
-    kept = docs.join(stays, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
-    return kept.select(*docs.columns)
+    kept = docs.select("doc_id", _packed(docs)).join(stays, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
+    return kept.select("document.*")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
-    return found.where("not contaminated").select(*docs.columns)
+    rows = docs.select("doc_id", "text", _packed(docs))
+    found = decontaminate.decontaminate(rows, table(spark, sf_dir, "benchmark"), keep=("document",))
+    return found.where("not contaminated").select("document.*")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
