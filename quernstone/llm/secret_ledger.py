@@ -128,7 +128,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, m
     Rows are joined to findings by content, so repeated ids with different texts are handled.
     """
     columns = docs.columns
-    found = scan_versions(docs.withColumn("content", F.sha2(F.coalesce("text", F.lit("")), 256)), rules=rules, version_id="content")
+    found = scan_versions(docs.select("text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content")), rules=rules, version_id="content")
     found = found.where(F.size("findings") > 0).dropDuplicates(["content"])
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
     # Overlapping findings of several rules: what is masked already is passed over.
@@ -137,11 +137,11 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, m
     )
     rest = lambda s: F.concat(s["out"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.length("text")))
     clean = F.when(F.col("findings").isNull(), F.col("text")).otherwise(F.aggregate("findings", start, step, rest))
-    joined = docs.withColumn("content_id", F.sha2(F.coalesce("text", F.lit("")), 256)).join(found, F.col("content_id") == F.col("content"), "left")
-    out = joined.withColumn("text", clean)
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*columns)
+    # Whole rows travel as one column, since a table's other columns may have any names.
+    rows = docs.select("text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_id"), F.struct(*columns).alias("document"))
+    masked = rows.join(found.select("content", "findings"), F.col("content_id") == F.col("content"), "left").select("document", clean.alias("masked"))
+    new = {"text": F.col("masked"), "n_chars": F.length("masked").cast("long")}
+    return masked.select(*(new.get(c, F.col("document").getField(c)).alias(c) for c in columns))
 
 
 def _oracle() -> str:
