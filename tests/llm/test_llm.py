@@ -286,3 +286,17 @@ def test_pipeline(spark, tmp_path):
     assert sorted(final) == [0, 1, 2, 3, 4, 5, 10]
     assert final[10].endswith("[SECRET]") and final[0] == clean[0]
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(final)
+
+
+def test_stages_take_any_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choice(WORDS) + str(rnd.randint(0, 99)) for _ in range(40)) for _ in range(3)] + [None, ""]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(7, "a b c")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    odd = docs.selectExpr("*", *(f"7 AS {c}" for c in ("content", "content_id", "findings", "document", "masked", "stays", "id", "found", "results", "items", "n_words", "kept", "short", "contaminated")))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        plain, got = stage(spark, docs, str(tmp_path)), stage(spark, odd, str(tmp_path))
+        assert got.columns == odd.columns
+        assert sorted(map(str, got.select(*docs.columns).collect())) == sorted(map(str, plain.collect()))
