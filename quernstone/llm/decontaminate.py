@@ -8,7 +8,9 @@
    long as a window are exact phrase matches; windows with most words equal are proximity matches.
 
 Defined results: null texts have no words; items without words have no window; rows that share a document id are
-each compared with the candidates of all of them; an empty benchmark hits nothing; other columns are ignored.
+each compared with the candidates of all of them; repeated benchmark rows are one item, and texts that share an item id
+are each looked for; an item with a null id hits like others and is a null in ``items``; an empty benchmark hits nothing;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,13 +37,14 @@ def fold(word: Column) -> Column:
 
 
 def item_words(benchmark: DataFrame) -> DataFrame:
-    return benchmark.select("item_id", F.transform(split_words(F.col("text")), fold).alias("item_words")).where("size(item_words) > 0")
+    """``item_id, item_words`` of items with words; equal ones once."""
+    return benchmark.select("item_id", F.transform(split_words(F.col("text")), fold).alias("item_words")).where("size(item_words) > 0").distinct()
 
 
 def anchors_of(items: DataFrame, frequency: DataFrame, window: int) -> DataFrame:
-    """``term, item_id, item_words, place``: the two rarest terms of each window whose terms all occur."""
-    placed = items.select("item_id", "item_words", F.posexplode("item_words").alias("place", "term")).join(frequency, "term")
-    known = placed.groupBy("item_id", "item_words").agg(F.sort_array(F.collect_list(F.struct("place", F.col("count").alias("df"), "term"))).alias("known"))
+    """``term, item, place``: the two rarest terms of each window whose terms all occur."""
+    placed = items.select("item", "item_words", F.posexplode("item_words").alias("place", "term")).join(frequency, "term")
+    known = placed.groupBy("item", "item_words").agg(F.sort_array(F.collect_list(F.struct("place", F.col("count").alias("df"), "term"))).alias("known"))
 
     def of(start: Column) -> Column:
         span = F.least(F.lit(window), F.size("item_words"))
@@ -51,20 +54,20 @@ def anchors_of(items: DataFrame, frequency: DataFrame, window: int) -> DataFrame
 
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("item_words") - window))
     chosen = F.array_distinct(F.flatten(F.filter(F.transform(starts, of), lambda x: x.isNotNull())))
-    return known.select("item_id", "item_words", F.explode(chosen).alias("a")).select(F.col("a.term").alias("term"), "item_id", "item_words", F.col("a.place").alias("place"))
+    return known.select("item", F.explode(chosen).alias("a")).select(F.col("a.term").alias("term"), "item", F.col("a.place").alias("place"))
 
 
 def candidates(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
     """``id, item_id, item_words, shift``: diagonals of documents on which two anchors of an item meet."""
-    items = staged(item_words(benchmark), "items")
+    # Item ids may be null or stand for several texts, so items are joined by a key of their own, fixed by staging.
+    items = staged(item_words(benchmark).withColumn("item", F.monotonically_increasing_id()), "items")
     vocabulary = staged(items.select(F.explode("item_words").alias("term")).distinct(), "vocabulary")
     words = docs.select(F.col("doc_id").alias("id"), F.posexplode(split_words(F.col("text"))).alias("pos", "word")).select("id", "pos", fold(F.col("word")).alias("term"))
     # Spark broadcasts these staged tables only while their files are below its broadcast limit.
     frequency = staged(words.select("term").join(vocabulary, "term", "left_semi").groupBy("term").count(), "frequency")
     anchors = staged(anchors_of(items, frequency, window), "anchors")
-    places = anchors.select("term", "item_id", "place")
-    postings = words.join(places, "term").select("id", "item_id", (F.col("pos") - F.col("place")).alias("shift"), "place")
-    met = postings.groupBy("id", "item_id", "shift").agg(F.count_distinct("place").alias("n")).join(items.select("item_id", "item_words"), "item_id").where("n >= least(2, size(item_words))")
+    postings = words.join(anchors, "term").select("id", "item", (F.col("pos") - F.col("place")).alias("shift"), "place")
+    met = postings.groupBy("id", "item", "shift").agg(F.count_distinct("place").alias("n")).join(items, "item").where("n >= least(2, size(item_words))")
     return staged(met.select("id", "item_id", "item_words", "shift"), "candidates")
 
 
