@@ -25,11 +25,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one with the smallest id, once."""
-    found = jaccard.similar_components(docs, percent=80, width=5)
-    stays = staged(found.where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("stays")).distinct(), "stays")
-    kept = docs.select("doc_id", _packed(docs)).join(stays, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
-    return kept.select("document.*")
+    """One row of each component stays: the one with the smallest id, then text; null ids come last.
+
+    Rows have a key of their own, fixed by staging, since ids may be null or repeated. Rows without words are linked with
+    nothing, so each of them stays.
+    """
+    rows = staged(docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text", _packed(docs)), "keyed")
+    found = jaccard.similar_components(rows.select(F.col("key").alias("doc_id"), "text"), percent=80, width=5)
+    member = found.select(F.col("doc_id").alias("key"), F.col("component_id").alias("component"))
+    member = staged(member.join(rows.select("key", F.struct(F.col("doc_id").isNull(), "doc_id").alias("id")), "key"), "members")
+    low = member.groupBy("component").agg(F.min("id").alias("low"), F.min("key").alias("key"), F.count(F.lit(1)).alias("n"))
+    several = member.join(low.where("n > 1").select("component", "low"), "component").where(F.col("id").eqNullSafe(F.col("low"))).select("component", "key")
+    chosen = several.join(rows.select("key", "text"), "key").groupBy("component").agg(F.min(F.struct("text", "key")).alias("first"))
+    stays = staged(low.where("n = 1").select("key").unionByName(chosen.select("first.key")), "stays")
+    return rows.join(stays, "key", "left_semi").select("document.*")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

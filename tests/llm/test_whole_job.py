@@ -16,3 +16,13 @@ def test_benchmark_rows_repeat_or_have_no_id(spark):
     texts = [*(f"before {p} after" for p in passages), "nothing of it"]
     got = {r.doc_id: (r.n_hit, r.n_items, r["items"], r.contaminated) for r in decontaminate.decontaminate(table(spark, texts), bench).collect()}
     assert got == {0: (12, 1, ["1"], True), 1: (12, 1, ["1"], True), 2: (12, 1, [None], True), 3: (0, 0, [], False)}
+
+
+def test_near_duplicates_decides_by_row(spark):
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcd")
+    rows = [(1, a), (1, a), (2, b), (2, a + " end"), (None, c), (None, c), (5, d + " end"), (5, d), (None, d), (None, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(1, a), (2, b), (None, c), (5, d)], key=repr)
