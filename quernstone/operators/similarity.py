@@ -44,18 +44,31 @@ def signatures(matrix: DataFrame, n: int = 100, prime: int = PRIME, doc: str = "
     return wide.select(doc, F.posexplode(F.array(*(f"h{i}" for i in range(n)))).alias("hash_no", "min_hash"))
 
 
-def lsh_pairs(signature: DataFrame, rows_per_band: int = 1, threshold: float = 0.01, doc: str = "doc_id") -> DataFrame:
+def _whole_signatures(signature: DataFrame, doc: str) -> DataFrame:
+    return signature.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("hash_no", "min_hash"))).alias("s"))
+
+
+def lsh_classes(signature: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """``doc, class_id`` of every document: the least id with the same signature, which stands for it in ``lsh_pairs``."""
+    keyed = _whole_signatures(signature, doc)
+    return keyed.join(keyed.groupBy("s").agg(F.min(doc).alias("class_id")), "s").select(doc, "class_id")
+
+
+def lsh_pairs(signature: DataFrame, rows_per_band: int = 1, threshold: float = 0.01, doc: str = "doc_id", of_bands: bool = False) -> DataFrame:
     """Candidate pairs ``doc_a < doc_b`` with their common buckets, if those are at least ``threshold`` x documents.
 
-    Documents with one signature are one class and stand as its least id, so copies are not paired with each other.
+    That basis is the reference's and grows with the table: past ``bands / threshold`` documents no pair can reach it. With
+    ``of_bands`` the threshold is a share of the bands instead. Documents with one signature are one class and stand as
+    its least id, so copies are not paired with each other; ``lsh_classes`` has the members.
     """
-    keyed = signature.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("hash_no", "min_hash"))).alias("s"))
+    keyed = _whole_signatures(signature, doc)
     classes = keyed.groupBy("s").agg(F.min(doc).alias(doc))
     band = F.floor(F.col("pos") / rows_per_band).cast("int")
     long = classes.select(doc, F.posexplode("s").alias("pos", "v")).groupBy(doc, band.alias("band")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("v")), lambda v: v["min_hash"].cast("string")), "_").alias("bucket"))
     a, b = long.withColumnRenamed(doc, "doc_a"), long.withColumnRenamed(doc, "doc_b")
     met = a.join(b, ["band", "bucket"]).where("doc_a < doc_b").groupBy("doc_a", "doc_b").agg(F.count(F.lit(1)).alias("common"))
-    return met.crossJoin(F.broadcast(keyed.agg(F.count(F.lit(1)).alias("n")))).where(F.col("common") >= threshold * F.col("n")).select("doc_a", "doc_b", "common")
+    basis = F.max(F.ceil(F.size("s") / rows_per_band)) if of_bands else F.count(F.lit(1))
+    return met.crossJoin(F.broadcast(keyed.agg(basis.alias("n")))).where(F.col("common") >= threshold * F.col("n")).select("doc_a", "doc_b", "common")
 
 
 def cosine_to(vectors: DataFrame, target: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:

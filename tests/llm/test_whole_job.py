@@ -1,6 +1,7 @@
 """Inputs on which operators once did less than the whole job."""
 
 from quernstone.llm import decontaminate
+from quernstone.operators import similarity
 
 DOCS = "doc_id long, text string, lang string, n_chars string, id string, node string"
 
@@ -26,3 +27,12 @@ def test_near_duplicates_decides_by_row(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
     assert sorted(map(tuple, got), key=repr) == sorted([(1, a), (2, b), (None, c), (5, d)], key=repr)
+
+
+def test_lsh_membership_and_threshold_of_bands(spark):
+    rows = [(d, h, 7 if h < 2 and d < 4 else 100 * min(d, 9) + h) for d in range(11) for h in range(4)]
+    signature = spark.createDataFrame(rows, "doc_id long, hash_no int, min_hash long")
+    classes = {r.doc_id: r.class_id for r in similarity.lsh_classes(signature).collect()}
+    assert classes == {d: min(d, 9) for d in range(11)}
+    pairs = similarity.lsh_pairs(signature, threshold=0.5, of_bands=True).collect()
+    assert sorted(map(tuple, pairs)) == [(a, b, 2) for a in range(4) for b in range(a + 1, 4)]
