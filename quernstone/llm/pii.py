@@ -3,7 +3,9 @@
 Base spans come from patterns with checks. The field then labels the document's other words that could be part of personal
 data: those with a digit, @ or +. (Others cannot have a label but "none", so they are left out of the graph.)
 Its factors are word shapes, neighbouring words (the chain), and *skip links* between distant words that are equal or
-similar: the same address, or the same last digits, in any writing. Words in base spans are observed. Loopy sum-product message passing
+similar: the same address, or the same last digits, in any writing. Words in base spans are observed, and each repeat is linked
+with an observed word of its datum, however far that is. Neighbouring digit words that make up an observed number, as
+"988 555 2485", are one candidate. Loopy sum-product message passing, until messages settle,
 carries their labels along chain and skip links, so that a second writing of a number that the document shows to be
 personal is labelled like the first. Words without such support stay unlabelled: base patterns seldom miss, which
 ``miss_log_odds`` states.
@@ -83,8 +85,8 @@ class Graph:
         self.observed: list[int] = []
         self.features: list[list[int]] = []
         self.links: list[tuple[int, int, int]] = []
-        last_of: dict[str, int] = {}
-        k, previous = 0, -2
+        words: list[tuple[int, int, int, int, int]] = []  # first and last number, start, end, label
+        k = 0
         # Spans of several kinds may overlap; the first one that reaches a word labels it.
         for number, m in enumerate(_WORD.finditer(text)):
             word = m.group()
@@ -99,18 +101,59 @@ class Graph:
                 if end > m.start():
                     label = kind + 1
                     break
+            words.append((number, number, m.start(), m.end(), label))
+        numbers: dict[str, set[str]] = {}
+        key_at: dict[int, str] = {}  # end of a base span -> its number's key, if no single word has it
+        for start, kind, end in spans:
+            digits = _NOT_DIGIT.sub("", text[start:end])
+            if KINDS[kind] in ("card", "phone") and len(digits) >= 7:
+                numbers.setdefault(digits[-7:], set()).add(digits)
+                key_at[end] = digits[-7:]
+        previous = -2
+        observed_of: dict[str, dict[int, int]] = {}
+        repeats: dict[str, list[int]] = {}
+        for first, last, a, b, label in _joined(text, words, numbers) if numbers else words:
             node = len(self.place)
-            self.place.append((m.start(), m.end()))
+            self.place.append((a, b))
             self.observed.append(label)
-            self.features.append(features_of(word))
-            if previous == number - 1:
+            self.features.append(features_of(text[a:b]))
+            if previous == first - 1:
                 self.links.append((node - 1, node, 0))
-            previous = number
-            key = skip_key(word)
-            if key:
-                if key in last_of:
-                    self.links.append((last_of[key], node, 1))
-                last_of[key] = node
+            previous = last
+            keys = {skip_key(text[a:b])} if label < 0 else {skip_key(text[a:b]), *(key_at[end] for end in range(a + 1, b + 1) if end in key_at)}
+            for key in sorted(keys - {""}):
+                if label < 0:
+                    repeats.setdefault(key, []).append(node)
+                    continue
+                hubs = observed_of.setdefault(key, {})
+                if hubs:
+                    self.links.append((next(iter(hubs.values())), node, 1))
+                hubs.setdefault(label, node)
+        for key, nodes in repeats.items():
+            hubs = list(observed_of.get(key, {}).values())
+            self.links += [(hub, node, 1) for hub in hubs or nodes[:1] for node in nodes if node != hub]
+
+
+_DIGIT_WORD = re.compile(r"[+(\[]*[0-9][0-9()./-]*[.,;:!?)\]>\"']*")
+
+
+def _joined(text: str, words: list[tuple[int, int, int, int, int]], numbers: dict[str, set[str]]) -> list[tuple[int, int, int, int, int]]:
+    """Words with neighbouring unobserved digit words as one where together they write an observed number, or the end of it."""
+    most = max(len(x) for same in numbers.values() for x in same)
+    out: list[tuple[int, int, int, int, int]] = []
+    for w in words:
+        out.append(w)
+        digits, best, at = "", len(out) - 1, len(out) - 1
+        while at >= 0 and out[at][4] < 0 and (at == len(out) - 1 or out[at][1] == out[at + 1][0] - 1) and _DIGIT_WORD.fullmatch(part := text[out[at][2] : out[at][3]]):
+            digits = _NOT_DIGIT.sub("", part) + digits
+            if len(digits) > most:
+                break
+            if any(x.endswith(digits) for x in numbers.get(digits[-7:], ())):
+                best = at
+            at -= 1
+        if best < len(out) - 1:
+            out[best:] = [(out[best][0], w[1], out[best][2], w[3], -1)]
+    return out
 
 
 def skip_key(word: str) -> str:
@@ -179,9 +222,9 @@ class Field:
             setattr(self, name, np.clip(weight, -6, 6) if name == "chain" else np.maximum(np.clip(weight, -6, 6), 0) * np.eye(len(LABELS)) + 6.0 * np.eye(len(LABELS)))
         return self
 
-    def marginals(self, g: Graph, sweeps: int = 12) -> np.ndarray:
-        """Loopy sum-product; observed nodes send their label."""
-        n, m = len(g.place), len(LABELS)
+    def marginals(self, g: Graph, sweeps: int = 1000) -> np.ndarray:
+        """Loopy sum-product until messages settle; observed nodes send their label. ``sweeps`` only stops messages that swing for ever."""
+        m = len(LABELS)
         local = np.stack([self.unary[f].sum(0) for f in g.features]) + self.miss
         for i, label in enumerate(g.observed):
             if label >= 0:
@@ -197,7 +240,7 @@ class Field:
         tables = np.concatenate([tables, tables.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(links)) + len(links), np.arange(len(links))])
         sent = np.zeros((len(source), m))
-        for _ in range(min(sweeps, n) if len(links) else 0):
+        for _ in range(sweeps if len(links) else 0):
             belief = local.copy()
             np.add.at(belief, goal, sent)
             cavity = (belief[source] - sent[back])[:, :, None] + tables

@@ -1,6 +1,6 @@
 """Inputs on which operators once did less than the whole job."""
 
-from quernstone.llm import decontaminate
+from quernstone.llm import decontaminate, pii
 from quernstone.operators import similarity
 
 DOCS = "doc_id long, text string, lang string, n_chars string, id string, node string"
@@ -36,3 +36,12 @@ def test_lsh_membership_and_threshold_of_bands(spark):
     assert classes == {d: min(d, 9) for d in range(11)}
     pairs = similarity.lsh_pairs(signature, threshold=0.5, of_bands=True).collect()
     assert sorted(map(tuple, pairs)) == [(a, b, 2) for a in range(4) for b in range(a + 1, 4)]
+
+
+def test_personal_data_far_from_its_first_writing():
+    field = pii.Field().train([f"call +1 (98{i}) 555-24{i}5 or mail u{i}@h{i}.org 7 days" for i in range(9)])
+    text = "call +1 (988) 555-2485 now." + " some words then 988-555-2485 once more" * 40 + " and 988 555 2485 too, not 988 555 2486"
+    more = [text[a:b] for a, k, b in field.more_spans(text, pii.base_spans(text))]
+    assert more == ["988-555-2485"] * 40 + ["988 555 2485"]
+    text = "call +1 988 555 2485 now. some words then 988-555-2485 once more"
+    assert [text[a:b] for a, _, b in field.more_spans(text, pii.base_spans(text))] == ["988-555-2485"]
