@@ -20,7 +20,6 @@ from quernstone.llm.staging import staged
 SPACES = r"[\x20\x09-\x0D]+"
 CLASSES = ("lower", "upper", "sign", "space", "beyond_ascii")
 N_COMMON = 16
-COMMON_MOST_CHARS = 5
 
 
 def let(value: Column, body) -> Column:
@@ -72,7 +71,7 @@ def js_distance(p: Column, q: Column) -> Column:
 
 
 def features(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """Per row: ``keep``, ``own_lang``, the counts, ``classes`` and the words of up to ``COMMON_MOST_CHARS`` characters. One pass over the texts."""
+    """Per row: ``keep``, ``own_lang``, the counts, ``classes`` and ``words``. One pass over the texts."""
     text = F.col("own_text")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     by_words = F.transform(
@@ -81,7 +80,7 @@ def features(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
             F.size(w).cast("long").alias("n_words"),
             F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
             window_hashes(w).alias("windows"),
-            F.filter(w, lambda x: F.length(x) <= COMMON_MOST_CHARS).alias("short"),
+            w.alias("words"),
         ),
     )
     rows = docs.select(*keep, F.col("lang").alias("own_lang"), F.coalesce("text", F.lit("")).alias("own_text"))
@@ -94,7 +93,7 @@ def features(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("windows")).alias("n_repeat_words"),
         F.array(*(c.cast("long") for c in class_counts(text, F.col("word_chars")))).alias("classes"),
-        "short",
+        "words",
     )
 
 
@@ -102,13 +101,14 @@ def references(found: DataFrame, min_reference_words: int = 20_000) -> DataFrame
     """Per language: ``ref_lang, ref_classes, ref_common, common`` over all documents, from their features."""
     rows = found.where("own_lang is not null")
     sums = rows.groupBy("own_lang").agg(F.sum("n_words").alias("n_words"), *(F.sum(F.get("classes", F.lit(k))).alias(name) for k, name in enumerate(CLASSES)))
-    counted = rows.select("own_lang", F.explode("short").alias("word")).groupBy("own_lang", "word").count()
+    counted = rows.select("own_lang", F.explode("words").alias("word")).groupBy("own_lang", "word").count()
     order = Window.partitionBy("own_lang").orderBy(F.desc("count"), "word")
     top = counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= N_COMMON)
     common = top.groupBy("own_lang").agg(F.array_sort(F.collect_list(F.struct("rank", "word", "count"))).alias("top"))
+    none = F.array().cast("array<struct<rank:int,word:string,count:bigint>>")
     top_counts = F.transform("top", lambda x: x["count"])
     in_top = F.aggregate(top_counts, F.lit(0).cast("long"), lambda a, x: a + x)
-    return sums.where(F.col("n_words") >= min_reference_words).join(common, "own_lang").select(
+    return sums.where(F.col("n_words") >= min_reference_words).join(common, "own_lang", "left").withColumn("top", F.coalesce("top", none)).select(
         F.col("own_lang").alias("ref_lang"),
         shares(F.array(*(F.col(k).cast("double") for k in CLASSES))).alias("ref_classes"),
         shares(F.transform(F.concat(top_counts, F.array(F.col("n_words") - in_top)), lambda x: x.cast("double"))).alias("ref_common"),
@@ -120,7 +120,7 @@ def judge(docs: DataFrame, min_words: int = 50, most_class_distance: float = 0.2
     """Per row: ``keep`` and ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_distance, common_distance``."""
     found = staged(features(docs, keep), "features")
     refs = staged(references(found, min_reference_words), "references")
-    seen = F.filter("short", lambda w: F.array_contains(F.col("common"), w))
+    seen = F.filter("words", lambda w: F.array_contains(F.col("common"), w))
     each = let(seen, lambda s: F.concat(F.transform("common", lambda c: F.size(s) - F.size(F.array_remove(s, c))), F.array(F.col("n_words").cast("int") - F.size(s))))
     measured = F.col("ref_lang").isNotNull() & (F.col("n_words") >= min_words)
     far = F.coalesce(F.col("class_distance") > most_class_distance, F.lit(False)) | F.coalesce(F.col("common_distance") > most_common_distance, F.lit(False))

@@ -1,6 +1,6 @@
 """Inputs on which operators once did less than the whole job."""
 
-from quernstone.llm import decontaminate, pii
+from quernstone.llm import decontaminate, pii, quality
 from quernstone.operators import similarity
 
 DOCS = "doc_id long, text string, lang string, n_chars string, id string, node string"
@@ -45,3 +45,10 @@ def test_personal_data_far_from_its_first_writing():
     assert more == ["988-555-2485"] * 40 + ["988 555 2485"]
     text = "call +1 988 555 2485 now. some words then 988-555-2485 once more"
     assert [text[a:b] for a, _, b in field.more_spans(text, pii.base_spans(text))] == ["988-555-2485"]
+
+
+def test_common_words_have_any_length(spark):
+    own, other = ("longer words only stand here".replace("only", "solely").replace("here", "herein").replace("stand", "standing").split(), "wholly different tokens appear throughout".split())
+    texts = [" ".join(own[k:] + own[:k]) for k in range(5)] * 8 + [" ".join(other)]
+    got = {r.doc_id: r for r in quality.judge(table(spark, texts), min_words=5, min_reference_words=20).collect()}
+    assert got[0].class_distance is not None and got[0].common_distance < 0.2 < 0.6 < got[40].common_distance
