@@ -96,7 +96,7 @@ class PieceTable:
 def _contractions(codes: np.ndarray, cls: np.ndarray, start: np.ndarray, after_space: bool) -> None:
     """Let 's 't 'm 'd 're 've 'll be pieces where the splitting pattern would take them."""
     at = np.flatnonzero(codes == 0x27)
-    at = at[(at > 0) & (at + 3 < len(codes))]
+    at = at[(at > 0) & (at + 2 < len(codes))]  # codes end with a separator, so two letters have a sign after them
     at = at[(cls[at + 1] == LETTER) & (cls[at - 1] != OTHER)]
     if not after_space:
         at = at[codes[at - 1] != 0x20]

@@ -1,6 +1,8 @@
 """Inputs on which operators once did less than the whole job."""
 
-from quernstone.llm import decontaminate, pii, quality
+import pytest
+
+from quernstone.llm import decontaminate, lexicon, pii, quality, queries
 from quernstone.operators import similarity
 
 DOCS = "doc_id long, text string, lang string, n_chars string, id string, node string"
@@ -52,3 +54,11 @@ def test_common_words_have_any_length(spark):
     texts = [" ".join(own[k:] + own[:k]) for k in range(5)] * 8 + [" ".join(other)]
     got = {r.doc_id: r for r in quality.judge(table(spark, texts), min_words=5, min_reference_words=20).collect()}
     assert got[0].class_distance is not None and got[0].common_distance < 0.2 < 0.6 < got[40].common_distance
+
+
+@pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_contraction_at_the_very_end(file):
+    coder = lexicon.Encoder(queries.vocabulary(file))
+    for text in ("it's", "it don't", "I'm", "he'd", "we're", "I'll", "it'", "x 's"):
+        flat, _ = coder.encode([text], 2)
+        assert flat.tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids + [2], text
