@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ STOP_WORDS = tuple(
 )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times; inside a lambda a plain expression is evaluated anew each time."""
+    return F.transform(F.array(value), body)[0]
+
+
 def clean(text: Column) -> Column:
     """Letters, digits and white space only, lower case, trimmed; a null text is empty."""
     return F.trim(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\sa-zA-Z0-9]", "")))
@@ -23,8 +30,7 @@ def tokens(text: Column, drop_empty: bool = False) -> Column:
 
 
 def without_stop_words(words: Column) -> Column:
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.filter(words, lambda w: ~F.array_contains(stop, w))
+    return F.filter(words, lambda w: ~w.isin(*STOP_WORDS))
 
 
 def clean_body(text: Column) -> Column:
@@ -37,7 +43,9 @@ def clean_body(text: Column) -> Column:
 
 def shingles(words: Column, k: int) -> Column:
     """Windows of ``k`` words, joined by blanks; fewer words give none."""
-    return F.when(F.size(words) < k, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)), lambda i: F.array_join(F.slice(words, i, k), " ")))
+    none = F.array().cast("array<string>")
+    joined = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.array_join(F.slice(w, i, k), " "))
+    return let(words, lambda w: F.when(F.size(w) < k, none).otherwise(joined(w)))
 
 
 def clean_strict(text: Column) -> Column:
