@@ -1,16 +1,21 @@
 """Benchmark decontamination with a positional inverted index, DataFrame functions only.
 
-1. Terms of the benchmark are counted over all documents.
-2. Each window of ten item words is anchored at its two rarest terms. A window with a term that no document has cannot occur.
-3. Postings (document, position) of anchor terms are joined with the anchors' places in items. Minus its place in the
-   item, a posting names a diagonal; the lists of a window's two anchors meet on one diagonal of a document if it occurs there.
-4. On each diagonal where two anchors meet, the item's words are compared with the document's. Runs of equal words as
-   long as a window are exact phrase matches; windows with most words equal are proximity matches.
-
-Defined results: null texts have no words; items without words have no window; rows that share a document id are
-each compared with the candidates of all of them; repeated benchmark rows are one item, and texts that share an item id
-are each looked for; an item with a null id hits like others and is a null in ``items``; an empty benchmark hits nothing;
-other columns are ignored.
+1. *Index.* Documents get a row key, fixed by staging. The postings (row, term, position) of all terms that the benchmark has are
+   stored; all later steps read them and never the texts.
+2. *Rarest terms first.* Each window of ten item words has as anchors its ``window - near + 2`` rarest terms. Minus its place
+   in the item, an anchor's posting names a diagonal of a row; the offset-adjusted lists of two anchors meet on one diagonal of
+   a row if the window occurs there.
+3. *All terms.* On each diagonal where two anchors meet, the lists of all the item's terms are intersected: the postings of those rows
+   are joined with the places that the item's words have there, and up to ``slack`` words off.
+4. Places that agree on the diagonal itself in runs of a window are exact phrase matches. Windows of which ``near`` words agree on it
+   or within ``slack`` words of it (a changed, a missing or an added word) are proximity matches.
+
+Rows without a meeting diagonal are told by a bitmap of fixed size and take part in no join, so neither whole texts nor
+the postings of clean rows are shuffled, at any size of the table.
+
+Defined results: null texts have no words; items without words have no window; rows are judged each, also if ids repeat or are
+null; repeated benchmark rows are one item, and texts that share an item id are each looked for; an item with a null id hits like
+others and is a null in ``items``; an empty benchmark hits nothing, an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,11 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm.quality import let
-from quernstone.llm.staging import staged
+from quernstone.llm.staging import discard, staged
 
 #: All that is not part of a word, before and after lower-casing.
 GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The row bitmap has 2**26 bits in 64-bit words: at most 2**20 rows of two longs.
+_ROW_BITS = 26
 
 
 def split_words(text: Column) -> Column:
@@ -41,72 +48,99 @@ def item_words(benchmark: DataFrame) -> DataFrame:
     return benchmark.select("item_id", F.transform(split_words(F.col("text")), fold).alias("item_words")).where("size(item_words) > 0").distinct()
 
 
-def anchors_of(items: DataFrame, frequency: DataFrame, window: int) -> DataFrame:
-    """``term, item, place``: the two rarest terms of each window whose terms all occur."""
-    placed = items.select("item", "item_words", F.posexplode("item_words").alias("place", "term")).join(frequency, "term")
-    known = placed.groupBy("item", "item_words").agg(F.sort_array(F.collect_list(F.struct("place", F.col("count").alias("df"), "term"))).alias("known"))
+def _slot(row: Column) -> Column:
+    return F.xxhash64(row).bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
 
-    def of(start: Column) -> Column:
-        span = F.least(F.lit(window), F.size("item_words"))
-        inside = F.filter("known", lambda x: (x["place"] >= start) & (x["place"] < start + span))
-        ranked = let(inside, lambda s: F.when(F.size(s) == span, F.array_sort(F.transform(s, lambda x: F.struct(x["df"].alias("df"), x["place"].alias("place"), x["term"].alias("term"))))))
-        return F.slice(ranked, 1, 2)
 
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("item_words") - window))
-    chosen = F.array_distinct(F.flatten(F.filter(F.transform(starts, of), lambda x: x.isNotNull())))
-    return known.select("item", F.explode(chosen).alias("a")).select(F.col("a.term").alias("term"), "item", F.col("a.place").alias("place"))
+def rows_in_bitmap(rows: DataFrame) -> DataFrame:
+    """``slot_word, slots``: a bitmap of fixed size of the ``row`` keys. It has no false negatives and is no answer by itself."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), _slot(F.col("row")).bitwiseAND(F.lit(63)).cast("int"))
+    return rows.select(F.shiftright(_slot(F.col("row")), 6).alias("slot_word"), bit.alias("bit")).groupBy("slot_word").agg(F.bit_or("bit").alias("slots"))
 
 
-def candidates(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
-    """``id, item_id, item_words, shift``: diagonals of documents on which two anchors of an item meet."""
-    # Item ids may be null or stand for several texts, so items are joined by a key of their own, fixed by staging.
-    items = staged(item_words(benchmark).withColumn("item", F.monotonically_increasing_id()), "items")
-    vocabulary = staged(items.select(F.explode("item_words").alias("term")).distinct(), "vocabulary")
-    words = docs.select(F.col("doc_id").alias("id"), F.posexplode(split_words(F.col("text"))).alias("pos", "word")).select("id", "pos", fold(F.col("word")).alias("term"))
-    # Spark broadcasts these staged tables only while their files are below its broadcast limit.
-    frequency = staged(words.select("term").join(vocabulary, "term", "left_semi").groupBy("term").count(), "frequency")
-    anchors = staged(anchors_of(items, frequency, window), "anchors")
-    postings = words.join(anchors, "term").select("id", "item", (F.col("pos") - F.col("place")).alias("shift"), "place")
-    met = postings.groupBy("id", "item", "shift").agg(F.count_distinct("place").alias("n")).join(items, "item").where("n >= least(2, size(item_words))")
-    return staged(met.select("id", "item_id", "item_words", "shift"), "candidates")
+def perhaps_in(df: DataFrame, bitmap: DataFrame) -> DataFrame:
+    """``df`` with ``perhaps``: whether its ``row`` can be among the bitmap's. Nothing is shuffled."""
+    met = df.join(F.broadcast(bitmap), F.shiftright(_slot(F.col("row")), 6) == F.col("slot_word"), "left")  # at most 2**20 rows
+    bit = F.call_function("shiftright", F.col("slots"), _slot(F.col("row")).bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1))
+    return met.withColumn("perhaps", F.coalesce(bit == 1, F.lit(False))).drop("slot_word", "slots")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, near: int = 8, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def anchors_of(passages: DataFrame, frequency: DataFrame, window: int, anchors: int) -> DataFrame:
+    """``term, passage, place``: the rarest terms of each window. Terms that no document has cannot be anchors."""
+    placed = passages.select("passage", F.posexplode("terms").alias("place", "term")).join(frequency, "term", "left")
+    known = placed.groupBy("passage").agg(F.array_sort(F.collect_list(F.struct("place", "df", "term"))).alias("known"))
+
+    def of(k: Column, start: Column, span: Column) -> Column:
+        inside = F.filter(F.slice(k, start + 1, span), lambda x: x["df"].isNotNull())
+        return F.slice(F.array_sort(F.transform(inside, lambda x: F.struct(x["df"].alias("df"), x["place"].alias("place"), x["term"].alias("term")))), 1, anchors)
+
+    span = F.least(F.lit(window), F.size("known"))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("known") - window))
+    chosen = F.array_distinct(F.flatten(F.transform(starts, lambda s: of(F.col("known"), s, span))))
+    return known.select("passage", F.explode(chosen).alias("a")).select(F.col("a.term").alias("term"), "passage", F.col("a.place").alias("place"))
+
+
+def _phrases(places: Column, span: Column) -> Column:
+    """Of ascending places, those in runs of ``span`` or more."""
+    starts = F.filter(places, lambda x, i: F.coalesce(F.get(places, i + span - 1) == x + span - 1, F.lit(False)))
+    return F.array_distinct(F.flatten(F.transform(starts, lambda s: F.sequence(s, s + span - 1))))
+
+
+def _most_in_window(places: Column, span: Column) -> Column:
+    """Of ascending places, the most that one window of ``span`` places has."""
+    return F.array_max(F.transform(places, lambda x, i: F.size(F.filter(F.slice(places, i + 1, span), lambda y: y < x + span))))
+
+
+def matches(postings: DataFrame, passages: DataFrame, window: int, near: int, slack: int) -> DataFrame:
+    """``row, passage, shift, hit, near``: what each meeting diagonal has; ``hit`` are places in exact phrases."""
+    # Spark broadcasts these staged tables of the benchmark only while their files are below its broadcast limit.
+    frequency = staged(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequency")
+    anchors = staged(anchors_of(passages, frequency, window, window - near + 2), "anchors")
+    lists = postings.join(anchors, "term").select("row", "passage", (F.col("pos") - F.col("place")).alias("shift"), "place")
+    length = passages.select("passage", F.size("terms").alias("length"))
+    met = lists.groupBy("row", "passage", "shift").agg(F.count(F.lit(1)).alias("n")).join(length, "passage").where("n >= least(2, length)")
+    met = staged(met.select("row", "passage", "shift"), "met")
+    asked = met.join(passages, "passage").select("row", "passage", "shift", F.size("terms").alias("length"), F.posexplode("terms").alias("place", "term"))
+    asked = asked.select("*", F.explode(F.sequence(F.lit(-slack), F.lit(slack))).alias("off")).withColumn("pos", F.col("shift") + F.col("place") + F.col("off")).where("pos >= 0")
+    held = perhaps_in(postings, rows_in_bitmap(met.select("row").distinct())).where("perhaps").drop("perhaps")
+    # Merged at every size, so that the plan and its shuffle grow in proportion.
+    agreed = asked.join(held.hint("merge"), ["row", "pos", "term"]).groupBy("row", "passage", "shift", "length")
+    agreed = agreed.agg(F.sort_array(F.collect_set(F.when(F.col("off") == 0, F.col("place")))).alias("exact"), F.sort_array(F.collect_set("place")).alias("about"))
+    span = F.least(F.lit(window), F.col("length"))
+    out = agreed.select("row", "passage", "shift", _phrases(F.col("exact"), span).alias("hit"), (_most_in_window(F.col("about"), span) >= F.least(F.lit(near), span)).alias("near"))
+    out = staged(out.where("near or size(hit) > 0"), "matches")
+    for done in (frequency, anchors, met):
+        discard(done, postings.sparkSession)
+    return out
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, near: int = 8, slack: int = 2, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Per row: ``keep`` and ``n_words, n_hit, n_items, items, n_near_items, contaminated``; ``items`` are ids as sorted strings."""
-    found = candidates(docs, benchmark, window)
-    per_doc = found.groupBy("id").agg(F.collect_list(F.struct("item_id", "item_words", "shift")).alias("found"))
-    per_doc = staged(per_doc, "found")
-    columns = list(dict.fromkeys(("doc_id", *keep)))
-    rows = docs.select(*columns, split_words(F.col("text")).alias("doc_words")).join(per_doc, F.col("doc_id").eqNullSafe(F.col("id")), "left")
-
-    def compare(words: Column, c: Column) -> Column:
-        """Positions in windows that agree throughout, and whether one agrees in most words."""
-        span = F.least(F.lit(window), F.size(c["item_words"]))
-        inside = lambda k: (c["shift"] + k >= 0) & F.coalesce(F.get(words, c["shift"] + k) == F.get(c["item_words"], k), F.lit(False))
-        same = F.transform(F.sequence(F.lit(0), F.size(c["item_words"]) - 1), lambda k: F.when(inside(k), 1).otherwise(0))
-
-        def judged(bits: Column) -> Column:
-            starts = F.sequence(F.lit(0), F.size(bits) - span)
-            sums = F.transform(starts, lambda k: F.aggregate(F.slice(bits, k + 1, span), F.lit(0), lambda a, x: a + x))
-            whole = lambda s: F.filter(starts, lambda k: F.get(s, k) == span)
-            places = lambda s: F.array_distinct(F.flatten(F.transform(whole(s), lambda k: F.sequence(c["shift"] + k, c["shift"] + k + span - 1))))
-            return let(sums, lambda s: F.struct(c["item_id"].alias("item_id"), places(s).alias("places"), (F.array_max(s) >= F.least(F.lit(near), span)).alias("near")))
-
-        return let(same, judged)
-
-    folded = lambda use: let(F.transform("doc_words", fold), use)
-    results = F.when(F.col("found").isNull(), F.lit(None)).otherwise(folded(lambda w: F.transform("found", lambda c: compare(w, c))))
-    out = rows.select(*keep, F.size("doc_words").cast("long").alias("n_words"), results.alias("results"))
-    exact = F.filter("results", lambda r: F.size(r["places"]) > 0)
+    spark = docs.sparkSession
+    # Item ids may be null or stand for several texts, and texts may have several ids: each text is one passage with its own key.
+    items = staged(item_words(benchmark), "items")
+    passages = items.select("item_words").distinct().select(F.monotonically_increasing_id().alias("passage"), F.col("item_words").alias("terms"))
+    passages = staged(passages, "passages")
+    named = staged(items.join(passages, F.col("item_words") == F.col("terms")).select("passage", F.col("item_id").cast("string").alias("item")), "named")
+    # Whole rows travel as one column, since they may have any names.
+    words = docs.select(F.struct(*keep).alias("kept_row"), split_words(F.col("text")).alias("words"))
+    rows = staged(words.select(F.monotonically_increasing_id().alias("row"), "kept_row", F.size("words").cast("long").alias("n_words"), "words"), "rows")
+    vocabulary = staged(passages.select(F.explode("terms").alias("term")).distinct(), "vocabulary")
+    spread = rows.select("row", F.posexplode("words").alias("pos", "word")).select("row", "pos", fold(F.col("word")).alias("term"))
+    postings = staged(spread.join(vocabulary, "term", "left_semi"), "postings")
+    found = matches(postings, passages, window, near, slack)
+    discard(postings, spark)
+
+    places = found.select("row", F.explode(F.transform("hit", lambda p: F.col("shift") + p)).alias("p")).distinct().groupBy("row").agg(F.count(F.lit(1)).alias("n_hit"))
+    by_item = found.join(named, "passage").groupBy("row", "item").agg(F.max(F.size("hit") > 0).alias("whole")).groupBy("row")
+    by_item = by_item.agg(F.array_sort(F.collect_list(F.when(F.col("whole"), F.struct("item")))).alias("whole"), F.count(F.lit(1)).alias("n_all"))
+    judged = by_item.join(places, "row", "left").select("row", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.transform("whole", lambda x: x["item"]).alias("items"), (F.col("n_all") - F.size("whole")).alias("n_near_items"))
+    judged = staged(judged, "judged")
+    told = perhaps_in(rows.drop("words"), rows_in_bitmap(judged))
     none = F.array().cast("array<string>")
-    items = lambda of: F.array_sort(F.array_distinct(F.transform(of, lambda r: r["item_id"].cast("string"))))
-    out = out.select(
-        *keep, "n_words",
-        F.coalesce(F.size(F.array_distinct(F.flatten(F.transform("results", lambda r: r["places"])))), F.lit(0)).alias("n_hit"),
-        F.coalesce(items(exact), none).alias("items"),
-        F.coalesce(F.size(F.array_except(items(F.filter("results", lambda r: r["near"])), items(exact))), F.lit(0)).alias("n_near_items"),
-    )
-    return out.select(*keep, "n_words", F.greatest(F.lit(0), F.col("n_hit")).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", F.greatest(F.lit(0), F.col("n_near_items")).cast("long").alias("n_near_items"), (F.col("n_hit") > 0).alias("contaminated"))
+    clean = told.where("not perhaps").select("kept_row", "n_words", F.lit(0).cast("long").alias("n_hit"), none.alias("items"), F.lit(0).cast("long").alias("n_near_items"))
+    hit = told.where("perhaps").join(judged.hint("merge"), "row", "left").select("kept_row", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", none), F.coalesce("n_near_items", F.lit(0)).cast("long"))
+    return clean.union(hit).select(*(F.col("kept_row").getField(c).alias(c) for c in keep), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "n_near_items", (F.col("n_hit") > 0).alias("contaminated"))
 
 
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
