@@ -2,13 +2,14 @@
 
 1. *Index.* Documents get a row key, fixed by staging. The postings (row, term, position) of all terms that the benchmark has are
    stored; all later steps read them and never the texts.
-2. *Rarest terms first.* Each window of ten item words has as anchors its ``window - near + 2`` rarest terms. Minus its place
-   in the item, an anchor's posting names a diagonal of a row; the offset-adjusted lists of two anchors meet on one diagonal of
-   a row if the window occurs there.
+2. *Rarest terms first.* Each window of ten item words has as anchors its two rarest terms. Minus its place in the item, an
+   anchor's posting names a diagonal of a row; the offset-adjusted lists of two anchors meet on one diagonal of a row if the
+   window occurs there.
 3. *All terms.* On each diagonal where two anchors meet, the lists of all the item's terms are intersected: the postings of those rows
    are joined with the places that the item's words have there, and up to ``slack`` words off.
 4. Places that agree on the diagonal itself in runs of a window are exact phrase matches. Windows of which ``near`` words agree on it
-   or within ``slack`` words of it (a changed, a missing or an added word) are proximity matches.
+   or within ``slack`` words of it (a changed, a missing or an added word) are proximity matches; by definition these have two
+   anchors of the item at their distance.
 
 Rows without a meeting diagonal are told by a bitmap of fixed size and take part in no join, so neither whole texts nor
 the postings of clean rows are shuffled, at any size of the table.
@@ -65,14 +66,14 @@ def perhaps_in(df: DataFrame, bitmap: DataFrame) -> DataFrame:
     return met.withColumn("perhaps", F.coalesce(bit == 1, F.lit(False))).drop("slot_word", "slots")
 
 
-def anchors_of(passages: DataFrame, frequency: DataFrame, window: int, anchors: int) -> DataFrame:
-    """``term, passage, place``: the rarest terms of each window. Terms that no document has cannot be anchors."""
+def anchors_of(passages: DataFrame, frequency: DataFrame, window: int) -> DataFrame:
+    """``term, passage, place``: the two rarest terms of each window. Terms that no document has cannot be anchors."""
     placed = passages.select("passage", F.posexplode("terms").alias("place", "term")).join(frequency, "term", "left")
     known = placed.groupBy("passage").agg(F.array_sort(F.collect_list(F.struct("place", "df", "term"))).alias("known"))
 
     def of(k: Column, start: Column, span: Column) -> Column:
         inside = F.filter(F.slice(k, start + 1, span), lambda x: x["df"].isNotNull())
-        return F.slice(F.array_sort(F.transform(inside, lambda x: F.struct(x["df"].alias("df"), x["place"].alias("place"), x["term"].alias("term")))), 1, anchors)
+        return F.slice(F.array_sort(F.transform(inside, lambda x: F.struct(x["df"].alias("df"), x["place"].alias("place"), x["term"].alias("term")))), 1, 2)
 
     span = F.least(F.lit(window), F.size("known"))
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("known") - window))
@@ -95,7 +96,7 @@ def matches(postings: DataFrame, passages: DataFrame, window: int, near: int, sl
     """``row, passage, shift, hit, near``: what each meeting diagonal has; ``hit`` are places in exact phrases."""
     # Spark broadcasts these staged tables of the benchmark only while their files are below its broadcast limit.
     frequency = staged(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequency")
-    anchors = staged(anchors_of(passages, frequency, window, window - near + 2), "anchors")
+    anchors = staged(anchors_of(passages, frequency, window), "anchors")
     lists = postings.join(anchors, "term").select("row", "passage", (F.col("pos") - F.col("place")).alias("shift"), "place")
     length = passages.select("passage", F.size("terms").alias("length"))
     met = lists.groupBy("row", "passage", "shift").agg(F.count(F.lit(1)).alias("n")).join(length, "passage").where("n >= least(2, length)")
