@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def session(app: str = "quernstone", **conf: str) -> SparkSession:
     """A session with adaptive execution and UTC; ``conf`` adds settings (dots as double underscores)."""
@@ -16,19 +20,46 @@ def session(app: str = "quernstone", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def work_dir(spark: SparkSession, label: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; only a local session may go without that setting."""
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process, as in tests; ``local-cluster`` is not."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``. Only a local session may go without that setting; it gets a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not is_local(spark):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="quernstone-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+    return base.rstrip("/")
+
+
+def work_dir(spark: SparkSession, label: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Inside, Spark deletes the shuffle files of a query as soon as it ends; what is written to the shared folder needs them no more."""
+    before = spark.conf.get(_FREE, None)
+    spark.conf.set(_FREE, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_FREE)
+        else:
+            spark.conf.set(_FREE, before)
 
 
 def materialised(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = work_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = work_dir(spark, label)
+    with shuffles_freed(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
