@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm import repeated
-from quernstone.llm.staging import bounded_batches, release, staged
+from quernstone.llm.staging import bounded_batches, discard, staged
 from quernstone.llm.wordhash import hashed_words, windows
 
 _SCAN = "doc_id long, n_words long, kept_sha256 string, kept string, text binary, unit long, bucket int, hashes binary, twice binary"
@@ -59,16 +59,16 @@ def deduplicate(docs: DataFrame, window: int = 35, keep_text: bool = False) -> D
     bounded_batches(spark)
     block = (window + 1) // 2
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    bits = repeated.bucket_bits(rows)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in repeated.in_units(batches, 1):
             words, cut = hashed_words(texts, False)
             at, h = windows(words, cut, block)
             place = at - np.repeat(cut[:-1], np.diff(cut))[at]
-            yield repeated.blobs(h, h[place % block == 0])
+            yield repeated.blobs(h, h[place % block == 0], bits)
 
-    anchors = repeated.repeated_map(rows.mapInArrow(probe, repeated.BLOBS), True)
-    release(spark)
+    anchors = repeated.repeated_map(rows.mapInArrow(probe, repeated.BLOBS), True, bits)
     shared = spark.sparkContext.broadcast(anchors)  # 16 MB at any input size
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,12 +93,12 @@ def deduplicate(docs: DataFrame, window: int = 35, keep_text: bool = False) -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(cut)), pa.array(done, pa.string()), pa.array(kept, pa.string()), pa.array([t if touched[i] else None for i, t in enumerate(texts)], pa.binary()), pa.array(np.full(n, unit)), blank(pa.int32()), blank(pa.binary()), blank(pa.binary())], names)
             if len(long_hash):
                 found, count = np.unique(long_hash, return_counts=True)
-                edges = np.arange(1, 256, dtype=np.uint64) << np.uint64(56)
-                lists = [[x.astype("<u8").tobytes() for x in np.split(v, np.searchsorted(v, edges))] for v in (found, found[count > 1])]
-                full = [k for k in range(256) if lists[0][k]]
-                m = len(full)
+                numbers, parts = repeated.split_by_bucket(found, bits)
+                again = dict(zip(*repeated.split_by_bucket(found[count > 1], bits), strict=True))
+                m = len(numbers)
                 blank = lambda kind, m=m: pa.nulls(m, kind)
-                yield pa.RecordBatch.from_arrays([blank(pa.int64()), blank(pa.int64()), blank(pa.string()), blank(pa.string()), blank(pa.binary()), pa.array(np.full(m, unit)), pa.array(full, pa.int32()), *(pa.array([x[k] for k in full], pa.binary()) for x in lists)], names)
+                lists = [[x.astype("<u8").tobytes() for x in parts], [again[k].astype("<u8").tobytes() if k in again else b"" for k in numbers]]
+                yield pa.RecordBatch.from_arrays([blank(pa.int64()), blank(pa.int64()), blank(pa.string()), blank(pa.string()), blank(pa.binary()), pa.array(np.full(m, unit)), pa.array(numbers, pa.int32()), *(pa.array(x, pa.binary()) for x in lists)], names)
 
     scanned = staged(rows.mapInArrow(scan, _SCAN), "anchored")
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from quernstone.llm import repeated
 from quernstone.llm.codepoints import mix
 from quernstone.llm.components import connected_components
-from quernstone.llm.staging import bounded_batches, discard, release, staged
+from quernstone.llm.staging import bounded_batches, discard, gathered, staged
 from quernstone.llm.wordhash import shingle_sets
 
 _CELL_BITS, _SEGMENTS = 20, 64
@@ -56,7 +56,7 @@ def _order_sketch(texts: DataFrame, width: int) -> np.ndarray:
         level = np.rint(2 * np.log2(np.maximum(total, 1))).astype(np.uint8)
         return pa.table({"segment": group.column("segment")[:1], "cells": pa.array([level.tobytes()], pa.binary())})
 
-    rows = texts.mapInArrow(count, "segment int, cells binary").groupBy("segment").applyInArrow(add, "segment int, cells binary").collect()
+    rows = gathered(texts.mapInArrow(count, "segment int, cells binary").groupBy("segment").applyInArrow(add, "segment int, cells binary"))
     size = (1 << _CELL_BITS) // _SEGMENTS
     out = np.zeros(1 << _CELL_BITS, np.uint8)
     for row in rows:
@@ -110,6 +110,7 @@ def similar_components(docs: DataFrame, percent: int = 80, width: int = 5) -> Da
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    bits = repeated.bucket_bits(rows)
     order = spark.sparkContext.broadcast(_order_sketch(rows, width))  # 1 MB
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,9 +121,9 @@ def similar_components(docs: DataFrame, percent: int = 80, width: int = 5) -> Da
                 if len(members):
                     prefix = prefixes.of(members)
                     seen[int(_group(prefix, len(members)))] = prefix
-            yield repeated.blobs(np.concatenate([np.zeros(0, np.uint64), *seen.values()]), None)
+            yield repeated.blobs(np.concatenate([np.zeros(0, np.uint64), *seen.values()]), None, bits)
 
-    shared = spark.sparkContext.broadcast(repeated.repeated_map(rows.mapInArrow(index, repeated.BLOBS), False))  # 16 MB at any input size
+    shared = spark.sparkContext.broadcast(repeated.repeated_map(rows.mapInArrow(index, repeated.BLOBS), False, bits))  # 16 MB at any input size
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prefixes = _Prefixes(order.value, percent)
@@ -146,8 +147,6 @@ def similar_components(docs: DataFrame, percent: int = 80, width: int = 5) -> Da
             for k in range(0, len(out), 2000):
                 columns = zip(*out[k : k + 2000], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names)
-
-    release(spark)
     scanned = staged(rows.mapInArrow(scan, _SCAN), "shingled")
     own = scanned.where("kind = 0").select("doc_id", "node", "n")
     listed = scanned.where("kind = 1").select("grp", "n", (F.col("live") / F.greatest(F.lit(1), F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).alias("common"), F.explode(F.arrays_zip("tokens", "places")).alias("t"))
@@ -179,7 +178,6 @@ def similar_components(docs: DataFrame, percent: int = 80, width: int = 5) -> Da
         pairs = staged(pairs, "pairs")
         if pairs.isEmpty():
             return pairs
-        release(spark)
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -191,13 +189,11 @@ def similar_components(docs: DataFrame, percent: int = 80, width: int = 5) -> Da
                 yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
         sets = staged(_sets(rows, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), width), "sets")
-        release(spark)
         a = sets.select(F.col("node").alias("a"), F.col("members").alias("set_a"))
         b = sets.select(F.col("node").alias("b"), F.col("members").alias("set_b"))
         edges = staged(pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(check, "a binary, b binary"), "edges")
         for done in (sets, pairs):
             discard(done, spark)
-        release(spark)
         return edges
 
     stars = lists.select("pivot", "g").where("pivot.grp <> g.grp").where(fits("pivot", "g")).select(F.col("pivot.grp").alias("ga"), F.col("g.grp").alias("gb")).distinct()

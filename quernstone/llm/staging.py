@@ -3,43 +3,23 @@
 Intermediate results are written as Parquet below ``spark.checkpoint.dir`` (the
 folder that every executor and the driver can reach) and read back, so a lost
 executor costs a re-read and never a recomputation of a non-deterministic step.
+Once a table is written there, the shuffle files behind it are deleted.
 """
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
+from pyspark.sql import DataFrame, Row, SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from quernstone.session import materialised, shuffles_freed, work_dir
 
+fresh_dir = work_dir
+staged = materialised
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
 
-    Only a local-mode session may go without the setting (tests do); it then
-    gets a temporary folder. On a cluster a missing setting is an error.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    path = tempfile.mkdtemp(prefix="quernstone-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def fresh_dir(spark: SparkSession, label: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return it as read from there."""
-    path = fresh_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def gathered(df: DataFrame) -> list[Row]:
+    """Collect rows whose number and size have a fixed bound, and free the shuffle files behind them."""
+    with shuffles_freed(df.sparkSession):
+        return df.collect()
 
 
 def discard(df_or_path: DataFrame | str, spark: SparkSession) -> None:
@@ -50,12 +30,6 @@ def discard(df_or_path: DataFrame | str, spark: SparkSession) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now; it does so once nothing refers to them."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small, so that long texts cannot fill a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

@@ -1,8 +1,10 @@
 """Inputs on which operators once did less than the whole job."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from quernstone.llm import decontaminate, lexicon, pii, quality, queries
+from quernstone.llm import decontaminate, lexicon, pii, quality, queries, repeated
 from quernstone.operators import similarity
 
 DOCS = "doc_id long, text string, lang string, n_chars string, id string, node string"
@@ -62,3 +64,19 @@ def test_contraction_at_the_very_end(file):
     for text in ("it's", "it don't", "I'm", "he'd", "we're", "I'll", "it'", "x 's"):
         flat, _ = coder.encode([text], 2)
         assert flat.tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids + [2], text
+
+
+@pytest.mark.parametrize("bits", [8, 11, 14, 17])
+def test_repeated_values_by_any_number_of_buckets(spark, bits):
+    rnd = np.random.default_rng(bits)
+    units = [rnd.integers(0, 2**63, 400, dtype=np.uint64) * np.uint64(2) for _ in range(5)]
+    units[1][:50] = units[3][:50]
+    units[2][:9] = units[2][9:18]
+    sent = [repeated.blobs(u, u[::2], bits) for u in units]
+    rows = spark.createDataFrame(pa.Table.from_batches(sent), repeated.BLOBS)
+    for choose, want in ((False, np.concatenate([units[1][:50], units[2][:9]])), (True, np.concatenate([units[1][:50], units[2][:9]]))):
+        bitmap = repeated.repeated_map(rows, choose, bits)
+        found = repeated.passes(bitmap, np.concatenate(units))
+        picked = np.isin(want, np.concatenate([u[::2] for u in units])) if choose else np.ones(len(want), bool)
+        assert repeated.passes(bitmap, want[picked]).all()
+        assert found.sum() <= 2 * 59 + 5
