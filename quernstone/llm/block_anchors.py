@@ -109,7 +109,8 @@ def deduplicate(docs: DataFrame, window: int = 35, keep_text: bool = False) -> D
         back = [x[_among(x, again)] for x in sent]
         return pa.table({"unit": group.column("unit"), "hashes": pa.array([x.tobytes() for x in back], pa.binary())})
 
-    found = scanned.where("bucket is not null").select("bucket", "unit", "hashes", "twice").groupBy("bucket").applyInArrow(meet, "unit long, hashes binary").where("length(hashes) > 0")
+    sent = scanned.where("bucket is not null").select("bucket", "unit", "hashes", "twice")
+    found = staged(sent.groupBy("bucket").applyInArrow(meet, "unit long, hashes binary").where("length(hashes) > 0"), "found")
 
     def cut_out(key: tuple, texts: pa.Table, hashes: pa.Table) -> pa.Table:
         again = np.sort(np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(x, "<u8") for x in hashes.column("hashes").to_pylist())]))

@@ -10,16 +10,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Row, SparkSession
 
-from quernstone.session import materialised, shuffles_freed, work_dir
+from quernstone.session import materialised, work_dir
 
 fresh_dir = work_dir
 staged = materialised
 
 
 def gathered(df: DataFrame) -> list[Row]:
-    """Collect rows whose number and size have a fixed bound, and free the shuffle files behind them."""
-    with shuffles_freed(df.sparkSession):
-        return df.collect()
+    """Collect rows whose number and size have a fixed bound. By way of a table, so that the shuffle files behind them go."""
+    held = staged(df, "gathered")
+    rows = held.collect()
+    discard(held, df.sparkSession)
+    return rows
 
 
 def discard(df_or_path: DataFrame | str, spark: SparkSession) -> None:
