@@ -11,8 +11,8 @@ similarity t or more share one of the first ``n - ceil(t * n) + 1`` shingles of
 4. *Filter.* Group pairs from the index pass the size and the position filter.
 5. *Expand and verify.* Group pairs are expanded to pairs of their nodes, whose whole sets are intersected. First every group
    of an index list is paired with the list's pivot, the group with most shared prefix shingles. Lists whose
-   groups are then in one component need nothing more; in the others all pairs of groups in different components are
-   verified. No link between components can be missed, and a list of near copies costs pairs in proportion to its length.
+   groups are then in one component need nothing more; in the others all pairs of nodes in different components are
+   verified, paired component by component. No link between components can be missed, and a list of near copies costs pairs in proportion to its length.
 
 Defined results: null and empty texts have the empty set and are linked with nothing; texts with fewer words than a shingle
 have their whole sequence as one; repeated rows are equal sets; a null id is never a component's smallest (unless it
@@ -148,7 +148,7 @@ def similar_components(docs: DataFrame, percent: int = 80, width: int = 5) -> Da
                 columns = zip(*out[k : k + 2000], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names)
     scanned = staged(rows.mapInArrow(scan, _SCAN), "shingled")
-    own = scanned.where("kind = 0").select("doc_id", "node", "n")
+    own = staged(scanned.where("kind = 0").select("doc_id", "node", "n"), "own")
     listed = scanned.where("kind = 1").select("grp", "n", (F.col("live") / F.greatest(F.lit(1), F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).alias("common"), F.explode(F.arrays_zip("tokens", "places")).alias("t"))
     listed = listed.select(F.col("t.tokens").alias("token"), F.struct((-F.col("common")).alias("rank"), "grp", "n", F.col("t.places").alias("place")).alias("g"))
     # An index list counts if it has two groups; its pivot is the group with most shared prefix shingles.
@@ -158,20 +158,16 @@ def similar_components(docs: DataFrame, percent: int = 80, width: int = 5) -> Da
     several = every.groupBy("grp").count().where("count > 1").select("grp")
     joined = lists.select(F.col("g.grp").alias("grp")).union(several).distinct()
     nodes = staged(every.join(joined, "grp", "left_semi"), "nodes")
+    several = staged(several, "several")
+    discard(scanned, spark)
 
     def fits(x: str, y: str) -> str:
         """The size filter, and the position filter as it holds for the first shared shingle."""
         overlap = f"ceil(({x}.n + {y}.n) * {percent} / (100 + {percent}) - 1e-6)"
         return f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) AND least({x}.n - {x}.place, {y}.n - {y}.place) >= {overlap}"
 
-    def expand(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-        """Group pairs ``(ga, gb)`` to node pairs ``(a, b)``, each once."""
-        a = left.select(F.col("grp").alias("ga"), F.col("node").alias("a"), *(F.col(c).alias(f"{c}_a") for c in left.columns if c == "label"))
-        b = right.select(F.col("grp").alias("gb"), F.col("node").alias("b"), *(F.col(c).alias(f"{c}_b") for c in right.columns if c == "label"))
-        met = pairs.join(a, "ga").join(b, "gb").where("a <> b")
-        if "label_a" in met.columns:
-            met = met.where("label_a <> label_b")
-        return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    def both_ways(pairs: DataFrame) -> DataFrame:
+        return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def verify(pairs: DataFrame) -> DataFrame:
         """Pairs whose whole sets are similar; the sets of nodes in pairs are made from their texts anew."""
@@ -198,21 +194,30 @@ def similar_components(docs: DataFrame, percent: int = 80, width: int = 5) -> Da
 
     stars = lists.select("pivot", "g").where("pivot.grp <> g.grp").where(fits("pivot", "g")).select(F.col("pivot.grp").alias("ga"), F.col("g.grp").alias("gb")).distinct()
     inside = several.select(F.col("grp").alias("ga"), F.col("grp").alias("gb"))
-    first = nodes.groupBy("grp").agg(F.min("node").alias("node"))
-    edges = verify(expand(stars.unionByName(inside), first, nodes))
+    first = nodes.groupBy(F.col("grp").alias("ga")).agg(F.min("node").alias("a"))
+    members = nodes.select(F.col("grp").alias("gb"), F.col("node").alias("b"))
+    edges = verify(both_ways(stars.unionByName(inside).join(first, "ga").join(members, "gb")))
 
     labels = staged(connected_components(edges), "labels")
     labelled = staged(nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
-    spread = labelled.groupBy("grp").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    left = lists.select("token", F.col("g.grp").alias("grp"), F.col("g.n").alias("n"), F.col("g.place").alias("place")).join(spread, "grp")
-    mixed = left.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("token")
-    left = staged(left.join(mixed, "token"), "open-lists")
-    pairs = left.alias("x").join(left.alias("y"), F.expr(f"x.token = y.token AND x.grp < y.grp AND NOT (x.low = x.high AND x.low = y.low AND x.high = y.high) AND {fits('x', 'y')}"))
-    inner = spread.where("low <> high").select(F.col("grp").alias("ga"), F.col("grp").alias("gb"))
-    pairs = pairs.select(F.col("x.grp").alias("ga"), F.col("y.grp").alias("gb")).distinct().unionByName(inner)
-    more = verify(expand(pairs, labelled, labelled))
+    # What is left to compare: nodes of one list, or of one group, in different components.
+    listed = lists.select(F.struct("token", F.lit(0).cast("long").alias("same")).alias("list"), F.col("g.grp").alias("grp"), F.col("g.n").alias("n"), F.col("g.place").alias("place"))
+    listed = listed.unionByName(several.select(F.struct(F.lit(0).cast("long").alias("token"), F.col("grp").alias("same")).alias("list"), "grp", F.lit(1).cast("long").alias("n"), F.lit(0).alias("place")))
+    left = listed.join(labelled, "grp").select("list", "node", "label", "n", "place")
+    mixed = left.groupBy("list").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("list")
+    left = staged(left.join(mixed, "list"), "open-lists")
+    for done in (nodes, several, lists, labelled):
+        discard(done, spark)
+    # Components are paired first, so that members of one component never meet, however many a list has.
+    heads = left.select("list", "label").distinct()
+    met = heads.alias("p").join(heads.alias("q"), F.expr("p.list = q.list AND p.label < q.label")).select(F.col("p.list").alias("list"), F.col("p.label").alias("label"), F.col("q.label").alias("other"))
+    x = left.select("list", "label", F.struct("node", "n", "place").alias("x"))
+    y = left.select("list", F.col("label").alias("other"), F.struct("node", "n", "place").alias("y"))
+    more = verify(both_ways(met.join(x, ["list", "label"]).join(y, ["list", "other"]).where(f"list.same <> 0 OR ({fits('x', 'y')})").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))))
     if not more.isEmpty():
         labels = staged(connected_components(edges.unionByName(more)), "labels")
+    for done in (left, edges, more):
+        discard(done, spark)
 
     member = own.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = member.where("node is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.staging import gathered
+from quernstone.llm.staging import gathered, give_back
 
 #: Buckets are runs of the value range; there are at least 2**8, and one exchange has at most 2**14.
 LEAST_BITS, MOST_BITS = 8, 14
@@ -174,8 +174,11 @@ def in_units(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 8
         if size >= most_bytes:
             yield _unit(held, column)
             held, size = [], 0
+            give_back()
     if held:
         yield _unit(held, column)
+    held = []
+    give_back()
 
 
 def _unit(held: list[pa.RecordBatch], column: int) -> tuple[pa.RecordBatch, list[bytes]]:

@@ -8,10 +8,16 @@ Once a table is written there, the shuffle files behind it are deleted.
 
 from __future__ import annotations
 
+import ctypes
+import sys
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 
 from quernstone.session import materialised, work_dir
 
+_C = ctypes.CDLL("libc.so.6") if sys.platform == "linux" else None
+
 fresh_dir = work_dir
 staged = materialised
 
@@ -32,6 +38,13 @@ def discard(df_or_path: DataFrame | str, spark: SparkSession) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def give_back() -> None:
+    """In a Python worker: hand free memory back to the system, since idle workers stay and executors count it."""
+    pa.default_memory_pool().release_unused()
+    if _C is not None:
+        _C.malloc_trim(0)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small, so that long texts cannot fill a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

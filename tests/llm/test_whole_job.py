@@ -1,5 +1,7 @@
 """Inputs on which operators once did less than the whole job."""
 
+import random
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -80,3 +82,31 @@ def test_repeated_values_by_any_number_of_buckets(spark, bits):
         picked = np.isin(want, np.concatenate([u[::2] for u in units])) if choose else np.ones(len(want), bool)
         assert repeated.passes(bitmap, want[picked]).all()
         assert found.sum() <= 2 * 59 + 5
+
+
+def test_jaccard_joins_components_that_share_a_list(spark):
+    from quernstone.llm import jaccard
+
+    rnd = random.Random(11)
+    texts = []
+    for _ in range(6):  # drifting chains: ends are not similar, and pivots see only some of the links
+        words = [f"w{rnd.randint(0, 60)}" for _ in range(60)]
+        for _ in range(14):
+            texts.append(" ".join(words))
+            words = list(words)
+            words[rnd.randrange(60)] = f"e{rnd.randint(0, 10**6)}"
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(56)} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                lo, hi = sorted((find(a), find(b)))
+                root[hi] = lo
+    got = {r.doc_id: r.component_id for r in jaccard.similar_components(table(spark, texts)).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
