@@ -8,7 +8,7 @@ similarity t or more share one of the first ``n - ceil(t * n) + 1`` shingles of
 2. *Groups.* Documents with identical prefix and size are one group; equal sets are one node of their group.
 3. *Index.* Prefix shingles that occur once can join nothing: a fixed-size bitmap of those that occur twice or more
    thins the index before it is shuffled.
-4. *Filter.* Group pairs from the index pass the size and the position filter.
+4. *Filter.* Group pairs from the index pass the size and the position filter, then their whole prefixes must share enough.
 5. *Expand and verify.* Group pairs are expanded to pairs of their nodes, whose whole sets are intersected. First every group
    of an index list is paired with the list's pivot, the group with most shared prefix shingles. Lists whose
    groups are then in one component need nothing more; in the others all pairs of nodes in different components are
@@ -153,7 +153,9 @@ def similar_components(docs: DataFrame, percent: int = 80, width: int = 5) -> Da
     listed = listed.select(F.col("t.tokens").alias("token"), F.struct((-F.col("common")).alias("rank"), "grp", "n", F.col("t.places").alias("place")).alias("g"))
     # An index list counts if it has two groups; its pivot is the group with most shared prefix shingles.
     heads = listed.groupBy("token").agg(F.min("g").alias("pivot"), F.min("g.grp").alias("least"), F.max("g.grp").alias("most")).where("least < most").select("token", "pivot")
-    lists = staged(listed.join(heads, "token").select("token", "pivot", "g").distinct(), "lists")
+    # All that grows with the table is joined by merging at every size, so that plan and shuffle grow in proportion.
+    lists = staged(listed.join(heads.hint("merge"), "token").select("token", "pivot", "g").distinct(), "lists")
+    prefixes = staged(scanned.where("kind = 1").select("grp", "n", "tokens"), "prefixes")
     every = scanned.where("kind = 0 and node is not null").select("grp", "node").distinct()
     several = every.groupBy("grp").count().where("count > 1").select("grp")
     joined = lists.select(F.col("g.grp").alias("grp")).union(several).distinct()
@@ -166,6 +168,21 @@ def similar_components(docs: DataFrame, percent: int = 80, width: int = 5) -> Da
         overlap = f"ceil(({x}.n + {y}.n) * {percent} / (100 + {percent}) - 1e-6)"
         return f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) AND least({x}.n - {x}.place, {y}.n - {y}.place) >= {overlap}"
 
+    def sharing(pairs: DataFrame) -> DataFrame:
+        """Group pairs ``(ga, gb)`` whose prefixes share enough.
+
+        Of two prefixes that end at different shingles of the order, what the sets share beyond both prefixes' common shingles
+        lies behind the end of the one that ends first.
+        """
+        wanted = pairs.select(F.explode(F.array("ga", "gb")).alias("grp")).distinct()
+        held = staged(prefixes.join(wanted.hint("merge"), "grp", "left_semi").dropDuplicates(["grp"]), "pair-prefixes")
+        side = lambda k: held.select(F.col("grp").alias(f"g{k}"), F.col("n").alias(f"n{k}"), F.col("tokens").alias(f"t{k}")).hint("merge")
+        behind = f"greatest(ceil(na * {percent} / 100 - 1e-6), ceil(nb * {percent} / 100 - 1e-6)) - 1"
+        enough = f"ga = gb OR size(array_intersect(ta, tb)) + {behind} >= ceil((na + nb) * {percent} / (100 + {percent}) - 1e-6)"
+        out = staged(pairs.join(side("a"), "ga").join(side("b"), "gb").where(enough).select("ga", "gb"), "sharing")
+        discard(held, spark)
+        return out
+
     def both_ways(pairs: DataFrame) -> DataFrame:
         return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -187,41 +204,54 @@ def similar_components(docs: DataFrame, percent: int = 80, width: int = 5) -> Da
         sets = staged(_sets(rows, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), width), "sets")
         a = sets.select(F.col("node").alias("a"), F.col("members").alias("set_a"))
         b = sets.select(F.col("node").alias("b"), F.col("members").alias("set_b"))
-        edges = staged(pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(check, "a binary, b binary"), "edges")
+        edges = staged(pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "set_a", "set_b").mapInArrow(check, "a binary, b binary"), "edges")
         for done in (sets, pairs):
             discard(done, spark)
         return edges
 
     stars = lists.select("pivot", "g").where("pivot.grp <> g.grp").where(fits("pivot", "g")).select(F.col("pivot.grp").alias("ga"), F.col("g.grp").alias("gb")).distinct()
+    stars = sharing(staged(stars, "stars"))
     inside = several.select(F.col("grp").alias("ga"), F.col("grp").alias("gb"))
     first = nodes.groupBy(F.col("grp").alias("ga")).agg(F.min("node").alias("a"))
     members = nodes.select(F.col("grp").alias("gb"), F.col("node").alias("b"))
-    edges = verify(both_ways(stars.unionByName(inside).join(first, "ga").join(members, "gb")))
+    edges = verify(both_ways(stars.unionByName(inside).join(first.hint("merge"), "ga").join(members.hint("merge"), "gb")))
 
     labels = staged(connected_components(edges), "labels")
     labelled = staged(nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
     # What is left to compare: nodes of one list, or of one group, in different components.
     listed = lists.select(F.struct("token", F.lit(0).cast("long").alias("same")).alias("list"), F.col("g.grp").alias("grp"), F.col("g.n").alias("n"), F.col("g.place").alias("place"))
     listed = listed.unionByName(several.select(F.struct(F.lit(0).cast("long").alias("token"), F.col("grp").alias("same")).alias("list"), "grp", F.lit(1).cast("long").alias("n"), F.lit(0).alias("place")))
-    left = listed.join(labelled, "grp").select("list", "node", "label", "n", "place")
+    left = listed.join(labelled.hint("merge"), "grp").select("list", "grp", "node", "label", "n", "place")
     mixed = left.groupBy("list").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("list")
-    left = staged(left.join(mixed, "list"), "open-lists")
+    left = staged(left.join(mixed.hint("merge"), "list"), "open-lists")
     for done in (nodes, several, lists, labelled):
         discard(done, spark)
-    # Components are paired first, so that members of one component never meet, however many a list has.
-    heads = left.select("list", "label").distinct()
-    met = heads.alias("p").join(heads.alias("q"), F.expr("p.list = q.list AND p.label < q.label")).select(F.col("p.list").alias("list"), F.col("p.label").alias("label"), F.col("q.label").alias("other"))
-    x = left.select("list", "label", F.struct("node", "n", "place").alias("x"))
-    y = left.select("list", F.col("label").alias("other"), F.struct("node", "n", "place").alias("y"))
-    more = verify(both_ways(met.join(x, ["list", "label"]).join(y, ["list", "other"]).where(f"list.same <> 0 OR ({fits('x', 'y')})").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))))
+    # Components are paired first, so that members of one component never meet, however many a list has. Members of the larger
+    # one must fit the bounds of the smaller one before they are paired with its members.
+    rest = F.col("n") - F.col("place")
+    heads = left.groupBy("list", "label").agg(F.struct(F.count(F.lit(1)).alias("m"), "label").alias("size"), F.min("n").alias("low"), F.max("n").alias("high"), F.max(rest).alias("rest"))
+
+    def may_fit(x_low: str, x_high: str, x_rest: str) -> str:
+        return f"100 * {x_high} >= {percent} * q.low AND 100 * q.high >= {percent} * {x_low} AND least({x_rest}, q.rest) >= ceil(({x_low} + q.low) * {percent} / (100 + {percent}) - 1e-6)"
+
+    met = heads.alias("p").join(heads.alias("q").hint("merge"), F.expr(f"p.list = q.list AND p.size > q.size AND {may_fit('p.low', 'p.high', 'p.rest')}"))
+    met = met.select(F.col("p.list").alias("list"), F.col("p.label").alias("label"), F.struct("q.label", "q.low", "q.high", "q.rest").alias("q"))
+    x = left.select("list", "label", F.struct("grp", "node", "n", "place").alias("x")).alias("l")
+    y = left.select("list", "label", F.struct("grp", "node", "n", "place").alias("y")).alias("r")
+    met = met.alias("m").join(x.hint("merge"), F.expr(f"m.list = l.list AND m.label = l.label AND {may_fit('x.n', 'x.n', 'x.n - x.place')}")).select("m.list", "q", "x")
+    met = met.alias("m").join(y.hint("merge"), F.expr(f"m.list = r.list AND q.label = r.label AND {fits('x', 'y')}"))
+    met = met.select(F.col("x.grp").alias("ga"), F.col("y.grp").alias("gb"), F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    met = staged(met.distinct(), "met")
+    kept = sharing(met.select("ga", "gb").distinct())
+    more = verify(both_ways(met.join(kept.hint("merge"), ["ga", "gb"], "left_semi")))
     if not more.isEmpty():
         labels = staged(connected_components(edges.unionByName(more)), "labels")
-    for done in (left, edges, more):
+    for done in (left, edges, more, met, prefixes, stars):
         discard(done, spark)
 
-    member = own.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    member = own.join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = member.where("node is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return member.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return member.join(least.hint("merge"), "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 ORACLE = r"""
