@@ -17,9 +17,9 @@ from quernstone.llm.codepoints import EDGE, LETTER, NUMBER, OTHER, SEPARATOR, SP
 
 
 class PieceTable:
-    """Hash of a piece -> its token ids. Emptied when it would pass ``most`` pieces, so its memory is bounded."""
+    """Hash of a piece -> its token ids. Emptied when it would pass ``most`` pieces, so its memory is bounded: some 30 MB."""
 
-    def __init__(self, most: int = 2_000_000) -> None:
+    def __init__(self, most: int = 400_000) -> None:
         self.most = most
         self.clear()
 

@@ -21,13 +21,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quernstone.llm.staging import bounded_batches
+from quernstone.llm.staging import bounded_batches, give_back
 
 SCHEMA = "doc_id long, n_tokens int, part int, start_in_part long, ids array<int>"
 
 
-def write_token_orc(docs: DataFrame, path: str, tokenizer: str, end_id: int, stripe_bytes: int = 64 << 20, index_stride: int = 1000) -> None:
-    """Encode ``docs(doc_id, text)`` with the tokenizer file and write ids to ORC below ``path``."""
+def write_token_orc(docs: DataFrame, path: str, tokenizer: str, end_id: int, stripe_bytes: int = 8 << 20, index_stride: int = 1000) -> None:
+    """Encode ``docs(doc_id, text)`` with the tokenizer file and write ids to ORC below ``path``.
+
+    Stripes are small, so that a file has several: they are what parallel readers take and what lookups skip, and a writer holds one.
+    """
     bounded_batches(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,6 +46,7 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer: str, end_id: int, str
             np.cumsum(n, out=offsets[1:])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int32)), pa.array(np.full(len(n), part, np.int32)), pa.array(before + offsets[:-1].astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "n_tokens", "part", "start_in_part", "ids"])
             before += int(offsets[-1])
+        give_back()
 
     (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -50,7 +54,7 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer: str, end_id: int, str
         .mapInArrow(encode, SCHEMA)
         .write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
         .option("orc.create.index", "true").option("orc.row.index.stride", index_stride)
-        .option("orc.stripe.size", stripe_bytes).option("orc.compress", "ZSTD").orc(path)
+        .option("orc.stripe.size", stripe_bytes).option("orc.rows.between.memory.checks", 200).option("orc.compress", "ZSTD").orc(path)
     )
 
 

@@ -110,3 +110,40 @@ def test_jaccard_joins_components_that_share_a_list(spark):
                 root[hi] = lo
     got = {r.doc_id: r.component_id for r in jaccard.similar_components(table(spark, texts)).collect()}
     assert got == {i: find(i) for i in range(len(texts))}
+
+
+def test_token_orc_has_stripes_indexes_and_bloom_filters(spark):
+    from quernstone.llm.staging import fresh_dir
+    from quernstone.llm.token_orc import read_token_orc, write_token_orc
+
+    rnd, path = random.Random(3), fresh_dir(spark, "orc")
+    docs = spark.createDataFrame([(3 * i, " ".join(f"{rnd.randint(0, 10**9)}" for _ in range(60))) for i in range(6000)], "doc_id long, text string")
+    write_token_orc(docs.coalesce(1), path, queries.vocabulary("word_bpe_49k.json"), 2, stripe_bytes=200_000)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    stripes = 0
+    for file in read_token_orc(spark, path).inputFiles():
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(file), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        assert reader.getRowIndexStride() == 1000 and reader.getCompressionKind().toString() == "ZSTD"
+        here = list(reader.getStripes())
+        kinds = [s.getKind().toString() for x in here for s in reader.rows().readStripeFooter(x).getStreamsList() if s.getColumn() == 1]
+        assert kinds.count("BLOOM_FILTER_UTF8") == kinds.count("ROW_INDEX") == len(here)
+        encodings = [reader.rows().readStripeFooter(x).getColumns(1).getKind().toString() for x in here]
+        assert set(encodings) == {"DIRECT_V2"}  # integer run-length encoding
+        stripes = max(stripes, len(here))
+    assert stripes > 1
+    # An absent id between two others is in no file's Bloom filter; a present one needs few row groups.
+    def rows_read(key):
+        found = read_token_orc(spark, path).where(f"doc_id = {key}")
+        n = len(found.collect())
+        scans = [p for p in _nodes(found._jdf.queryExecution().executedPlan()) if p.nodeName().startswith("Scan orc")]
+        return n, scans[0].metrics().apply("numOutputRows").value()
+
+    assert rows_read(3 * 2500)[0] == 1 and rows_read(3 * 2500)[1] <= 2000
+    assert rows_read(3 * 2500 + 1) == (0, 0)
+
+
+def _nodes(plan):
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        plan = plan.executedPlan()
+    children = plan.children()
+    return [plan, *(x for k in range(children.size()) for x in _nodes(children.apply(k)))]
