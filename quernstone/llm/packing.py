@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.staging import bounded_batches, staged
+from quernstone.llm.staging import bounded_batches, give_back, staged
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, place long"
 #: Piece number of the rows that tell what a task's open bins hold at its end.
@@ -38,7 +38,7 @@ class OpenBins:
         self.bits = 0
         self.n_open = 0
         self.next_bin = 0
-        self.closed: list[int] = []
+        self.last_closed: int | None = None
 
     def put(self, n: int) -> tuple[int, int]:
         """Place an item of ``n`` tokens: its bin and its place there."""
@@ -61,7 +61,7 @@ class OpenBins:
             if self.n_open > self.most:
                 fullest = (self.bits & -self.bits).bit_length() - 1
                 stack = self.free[fullest]
-                self.closed.append(stack.pop())
+                self.last_closed = stack.pop()
                 self.n_open -= 1
                 if not stack:
                     self.bits ^= 1 << fullest
@@ -115,6 +115,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, size: int = 204
                     place.append(b)
                     done, at = done + m, at + 4 * m
             yield rows(doc, piece, start, length, crc, number, place)
+        give_back()
         if tails := bins.still_open():
             k = len(tails)
             yield rows([None] * k, [TAIL] * k, [0] * k, [size - x for x in tails.values()], [0] * k, list(tails), [0] * k)

@@ -122,7 +122,7 @@ def test_open_bins_are_best_fit():
             del free[number]
         if len(free) > 5:
             tightest = min(free.values())
-            closed = bins.closed[-1]
+            closed = bins.last_closed
             assert free.pop(closed) == tightest
         assert bins.still_open() == free
 
