@@ -9,6 +9,7 @@ an open-addressing table that is looked up for all pieces of a batch at once.
 from __future__ import annotations
 
 import functools
+import itertools
 import unicodedata
 
 import numpy as np
@@ -17,9 +18,9 @@ from quernstone.llm.codepoints import EDGE, LETTER, NUMBER, OTHER, SEPARATOR, SP
 
 
 class PieceTable:
-    """Hash of a piece -> its token ids. Emptied when it would pass ``most`` pieces, so its memory is bounded: some 30 MB."""
+    """Hash of a piece -> its token ids, for at most ``most`` pieces (some 50 MB). When full, it keeps those that were looked up again."""
 
-    def __init__(self, most: int = 400_000) -> None:
+    def __init__(self, most: int = 600_000) -> None:
         self.most = most
         self.clear()
 
@@ -30,9 +31,22 @@ class PieceTable:
         self.n = 0
         self.offset = np.zeros(1 << 16, np.int64)
         self.count = np.zeros(1 << 16, np.int32)
+        self.again = np.zeros(1 << 16, bool)
         self.flat = np.zeros(1 << 18, np.int32)
         self.n_flat = 0
 
+    def thin(self) -> None:
+        """Forget pieces that were not looked up again since they came; all of them if few would go."""
+        slots = np.flatnonzero(self.keys)
+        slots = slots[self.again[self.entry[slots]]]
+        keys, entry = self.keys[slots], self.entry[slots]
+        count, offset, flat = self.count[entry], self.offset[entry], self.flat
+        self.clear()
+        if 0 < len(keys) <= self.most // 2:
+            total = np.cumsum(count.astype(np.int64))
+            index = np.arange(total[-1]) + np.repeat(offset - (total - count), count)
+            self._append(keys, count, flat[index])
+
     def find(self, h: np.ndarray) -> np.ndarray:
         """Entry of each hash, or -1."""
         mask = np.uint64((1 << self.bits) - 1)
@@ -75,14 +89,16 @@ class PieceTable:
 
     def add(self, h: np.ndarray, ids: list[list[int]]) -> None:
         """``h``: distinct hashes that are not in the table."""
+        count = np.fromiter(map(len, ids), np.int32, len(ids))
+        self._append(h, count, np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(count.sum())))
+
+    def _append(self, h: np.ndarray, count: np.ndarray, flat: np.ndarray) -> None:
         n = len(h)
         self.reserve(n)
-        count = np.fromiter(map(len, ids), np.int32, n)
-        flat = np.fromiter((x for one in ids for x in one), np.int32, int(count.sum()))
-        for name, used, extra in (("offset", self.n, n), ("count", self.n, n), ("flat", self.n_flat, len(flat))):
+        for name, used, extra in (("offset", self.n, n), ("count", self.n, n), ("again", self.n, n), ("flat", self.n_flat, len(flat))):
             old = getattr(self, name)
             if used + extra > len(old):
-                new = np.zeros(max(2 * len(old), used + extra), old.dtype)
+                new = np.zeros(max(3 * len(old) // 2, used + extra), old.dtype)
                 new[:used] = old[:used]
                 setattr(self, name, new)
         self.count[self.n : self.n + n] = count
@@ -195,24 +211,26 @@ class Encoder:
         h = span_hashes(codes, first, end)
         h[h == 0] = 1
         entry = self.table.find(h)
-        if (entry < 0).any():
-            miss = np.flatnonzero(entry < 0)
+        miss = np.flatnonzero(entry < 0)
+        self.table.again[entry[entry >= 0] if len(miss) else entry] = True
+        if len(miss):
             new, where = np.unique(h[miss], return_index=True)
             if self.table.n + len(new) > self.table.most:
-                self.table.clear()
-                new, where = np.unique(h, return_index=True)
-                miss = np.arange(len(h))
+                self.table.thin()
+                entry = self.table.find(h)
+                miss = np.flatnonzero(entry < 0)
+                new, where = np.unique(h[miss], return_index=True)
             ids: list[list[int]] = [[]] * len(new)
-            words, at = [], []
-            names = list(self.special.values())
-            for k, i in enumerate(miss[where].tolist()):
-                code = int(codes[first[i]])
-                if code > SEPARATOR:
-                    ids[k] = [names[code - SEPARATOR - 1]]
-                else:
-                    words.append(codes[first[i] : end[i]].tobytes().decode("utf-32-le", "surrogatepass"))
-                    at.append(k)
-            for k, e in zip(at, self.bare.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            at, names = miss[where], list(self.special.values())
+            own = codes[first[at]] > SEPARATOR
+            for k in np.flatnonzero(own).tolist():
+                ids[k] = [names[int(codes[first[at[k]]]) - SEPARATOR - 1]]
+            plain = np.flatnonzero(~own)
+            begin, length = first[at[plain]], (end - first)[at[plain]]
+            stop = np.cumsum(length)
+            together = codes[np.arange(stop[-1] if len(stop) else 0) + np.repeat(begin - (stop - length), length)].tobytes().decode("utf-32-le", "surrogatepass")
+            words = [together[a:b] for a, b in zip((stop - length).tolist(), stop.tolist(), strict=True)]
+            for k, e in zip(plain.tolist(), self.bare.encode_batch_fast(words, add_special_tokens=False), strict=True):
                 ids[k] = e.ids
             self.table.add(new, ids)
             entry[miss] = self.table.find(h[miss])
