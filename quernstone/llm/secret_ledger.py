@@ -16,12 +16,15 @@ findings; an empty table leaves the ledger as it is; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.staging import fresh_dir
+from quernstone.llm.quality import let
+from quernstone.llm.staging import fresh_dir, staged
+from quernstone.session import shuffles_freed
 
 _OPEN, _MID, _CLOSE, _STAND_IN = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3"
 
@@ -45,7 +48,30 @@ BASE_RULES = (
     Rule("hex", r"()((?<![0-9a-f])[0-9a-f]{24,}+)", 24),
 )
 #: Further kinds; their spans come beside the base ones.
-MORE_RULES = (Rule("pem", r"(-----BEGIN )([A-Z0-9 ]{0,40}PRIVATE KEY-----)", 16),)
+_GAP = r"(?:\s|\\n|\\r)"
+_END = r"-----END [A-Z0-9 ]{0,40}PRIVATE KEY-----"
+#: A private key from its first line through header lines and the block of base64 to its last line, if it has one.
+_PEM = rf"[A-Z0-9 ]{{0,40}}PRIVATE KEY-----(?:{_GAP}+[A-Za-z-]{{1,20}}: [A-Za-z0-9, -]{{1,200}}){{0,5}}(?:{_GAP}+[A-Za-z0-9+/=]{{40,}})*(?:{_GAP}+[A-Za-z0-9+/=]{{1,76}}{_GAP}*{_END}|{_GAP}*{_END})?"
+MORE_RULES = (Rule("pem", rf"(-----BEGIN )({_PEM})", 16),)
+
+
+def running(values: Column, step: Callable[[Column, Column], Column], block: int = 256) -> Column:
+    """Running results of ``step`` over an array<bigint>. Appending copies, so it is done by blocks: n * ``block`` copies and not n * n."""
+    none = F.array().cast("array<bigint>")
+
+    def over(part: Column, start: Column) -> Column:
+        state = F.struct(start.alias("now"), none.alias("out"))
+        return F.aggregate(part, state, lambda s, x: let(step(s["now"], x), lambda y: F.struct(y.alias("now"), F.array_append(s["out"], y).alias("out"))), lambda s: s["out"])
+
+    def blocks(v: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(v) - 1), F.lit(block))
+        parts = F.transform(starts, lambda k: F.slice(v, k + 1, block))
+        zero = F.lit(0).cast("bigint")
+        sums = F.transform(parts, lambda p: F.aggregate(p, zero, step))
+        before = lambda done: F.transform(parts, lambda p, k: over(p, F.when(k > 0, F.get(done, k - 1)).otherwise(zero)))
+        return let(over(sums, zero), lambda done: F.flatten(before(done)))
+
+    return let(values, blocks)
 
 
 def spans_of(text: Column, rule: Rule, order: int) -> Column:
@@ -53,17 +79,15 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
     safe = F.translate(text, _OPEN + _MID + _CLOSE, _STAND_IN * 3)
     marked = F.regexp_replace(safe, F.lit(rule.pattern), F.lit(f"{_OPEN}$1{_MID}$2{_CLOSE}"))
     parts = F.split(marked, f"[{_OPEN}{_MID}{_CLOSE}]")  # outside, before, value, outside, before, value, ... outside
-    lengths = F.transform(parts, F.length)
+    lengths = F.transform(parts, lambda p: F.length(p).cast("bigint"))
     empty = F.array().cast("array<struct<begin:bigint,place:int,kind:string,finish:bigint>>")
-    state = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(0).cast("bigint").alias("begin"), F.lit(0).alias("k"), empty.alias("found"))
 
-    def step(s: Column, n: Column) -> Column:
-        value = (s["k"] == 2) & (n >= rule.least)
-        span = F.struct(s["begin"].alias("begin"), F.lit(order).alias("place"), F.lit(rule.kind).alias("kind"), (s["at"] + n).alias("finish"))
-        return F.struct((s["at"] + n).alias("at"), F.when(s["k"] == 0, s["at"] + n).otherwise(s["begin"]).alias("begin"), ((s["k"] + 1) % 3).alias("k"), F.when(value, F.array_append(s["found"], span)).otherwise(s["found"]).alias("found"))
+    def found(n: Column, end: Column) -> Column:
+        long_enough = F.filter(F.sequence(F.lit(2), F.size(n) - 1, F.lit(3)), lambda k: F.get(n, k) >= rule.least)
+        return F.transform(long_enough, lambda k: F.struct(F.get(end, k - 2).alias("begin"), F.lit(order).alias("place"), F.lit(rule.kind).alias("kind"), F.get(end, k).alias("finish")))
 
-    found = F.aggregate(lengths, state, step, lambda s: s["found"])
-    return F.when(text.rlike(rule.pattern), found).otherwise(empty)
+    spans = let(lengths, lambda n: F.when(F.size(n) > 3, let(running(n, lambda a, x: a + x), lambda end: found(n, end))).otherwise(empty))
+    return F.when(text.rlike(rule.pattern), spans).otherwise(empty)
 
 
 def listed(spans: Column) -> Column:
@@ -91,17 +115,17 @@ def scan_versions(versions: DataFrame, ledger_path: str | None = None, rules: tu
     rows = versions.select(F.col(version_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     address = rows.select("id", F.sha2("text", 256).alias("blob_id"))
 
-    # One row stands for each blob; only it brings its text along.
-    blobs = address.groupBy("blob_id").agg(F.min("id").alias("id"))
+    # One row stands for each blob; copies are dropped where they are before anything is sent.
+    blobs = rows.select(F.sha2("text", 256).alias("blob_id"), "text").dropDuplicates(["blob_id"])
     every = F.array(*map(F.lit, current))
     if known_before:
         known = spark.read.schema(LEDGER).parquet(ledger_path).where(F.col("rule_version").isin(current)).groupBy("blob_id").agg(F.collect_set("rule_version").alias("known"))
-        blobs = blobs.join(known, "blob_id", "left").withColumn("missing", F.array_except(every, F.coalesce("known", F.array().cast("array<string>")))).where("size(missing) > 0")
+        missing = F.array_except(every, F.coalesce("known", F.array().cast("array<string>")))
+        unseen = blobs.join(known.hint("merge"), "blob_id", "left").select("blob_id", "text", missing.alias("missing")).where("size(missing) > 0")
     else:
-        blobs = blobs.withColumn("missing", every)
-    stands = blobs.select(F.col("blob_id").alias("b"), F.col("id").alias("i"), "missing").hint("shuffle_hash")
-    unseen = rows.withColumn("blob_id", F.sha2("text", 256)).join(stands, F.expr("blob_id = b AND id <=> i")).select("blob_id", "text", "missing")
-    scan(unseen, rules).dropDuplicates(["blob_id", "rule_version"]).write.mode("append").parquet(ledger_path)
+        unseen = blobs.withColumn("missing", every)
+    with shuffles_freed(spark):
+        scan(unseen, rules).write.mode("append").parquet(ledger_path)
 
     ledger = spark.read.schema(LEDGER).parquet(ledger_path).where(F.col("rule_version").isin(current) & (F.size("findings") > 0))
     found = ledger.groupBy("blob_id").agg(F.array_sort(F.flatten(F.collect_list("findings"))).alias("findings"))
@@ -128,17 +152,22 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, m
     Rows are joined to findings by content, so repeated ids with different texts are handled.
     """
     columns = docs.columns
-    found = scan_versions(docs.select("text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content")), rules=rules, version_id="content")
-    found = found.where(F.size("findings") > 0).dropDuplicates(["content"])
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
-    # Overlapping findings of several rules: what is masked already is passed over.
-    step = lambda s, x: F.struct(
-        F.when(x["finish"] <= s["at"], s["out"]).when(x["begin"] < s["at"], s["out"]).otherwise(F.concat(s["out"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), (x["begin"] - s["at"]).cast("int")), F.lit(mark))).alias("out"), F.greatest(s["at"], x["finish"]).alias("at")
-    )
-    rest = lambda s: F.concat(s["out"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.length("text")))
-    clean = F.when(F.col("findings").isNull(), F.col("text")).otherwise(F.aggregate("findings", start, step, rest))
+    text_id = F.sha2(F.coalesce("text", F.lit("")), 256)
+    found = scan_versions(docs.select("text", text_id.alias("content")).dropDuplicates(["content"]), rules=rules, version_id="content")
+    found = staged(found.where(F.size("findings") > 0), "to-mask")
+    text = F.col("text")
+
+    def cut(spans: Column, ends: Column) -> Column:
+        """What stands between masked runs, each followed by the mark; overlapping findings are one run."""
+        before = lambda k: F.coalesce(F.get(ends, k - 1), F.lit(0).cast("bigint"))
+        first = F.filter(F.sequence(F.lit(0), F.size(spans) - 1), lambda k: (k == 0) | (F.get(spans, k)["begin"] >= before(k)))
+        pieces = F.transform(first, lambda k: F.concat(F.substring(text, (before(k) + 1).cast("int"), (F.get(spans, k)["begin"] - before(k)).cast("int")), F.lit(mark)))
+        return F.concat(F.array_join(pieces, ""), F.substring(text, (F.element_at(ends, -1) + 1).cast("int"), F.length(text)))
+
+    finish = running(F.transform("findings", lambda x: x["finish"]), lambda a, x: F.greatest(a, x))
+    clean = F.when(F.col("findings").isNull(), text).otherwise(let(finish, lambda ends: cut(F.col("findings"), ends)))
     # Whole rows travel as one column, since a table's other columns may have any names.
-    rows = docs.select("text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_id"), F.struct(*columns).alias("document"))
+    rows = docs.select("text", text_id.alias("content_id"), F.struct(*columns).alias("document"))
     masked = rows.join(found.select("content", "findings"), F.col("content_id") == F.col("content"), "left").select("document", clean.alias("masked"))
     new = {"text": F.col("masked"), "n_chars": F.length("masked").cast("long")}
     return masked.select(*(new.get(c, F.col("document").getField(c)).alias(c) for c in columns))
@@ -149,7 +178,7 @@ def _oracle() -> str:
         "assign": r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""".replace("\\\\", "\\"),
         "access": r"(AKIA[A-Z0-9]+)",
         "hex": r"([0-9a-f]+)",
-        "pem": r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY-----)",
+        "pem": f"-----BEGIN ({_PEM})",
     }
     least = {r.kind: r.least for r in BASE_RULES + MORE_RULES}
     found, spans = [], []

@@ -147,3 +147,44 @@ def _nodes(plan):
         plan = plan.executedPlan()
     children = plan.children()
     return [plan, *(x for k in range(children.size()) for x in _nodes(children.apply(k)))]
+
+
+def test_private_keys_are_masked_whole_and_overlaps_once(spark):
+    from quernstone.llm import secret_ledger
+
+    line = "MIIEpAIBAAKCAQEA" + "aB3/" * 12
+    keys = [
+        f"-----BEGIN RSA PRIVATE KEY-----\n{line}\n{line}\nshort==\n-----END RSA PRIVATE KEY-----",
+        f"-----BEGIN PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n{line}\n-----END PRIVATE KEY-----",
+        f"-----BEGIN EC PRIVATE KEY-----\\n{line}\\nab=\\n-----END EC PRIVATE KEY-----",
+        f"-----BEGIN PRIVATE KEY-----\n{line}",
+        "-----BEGIN PRIVATE KEY-----\nMIIE\n-----END PRIVATE KEY-----",
+    ]
+    texts = [f"é before {k} after it, plainly" for k in keys]
+    texts += ["x token=" + "0a" * 20 + " y", None, "", "token=abcdef1 " * 2000]
+    got = {r.doc_id: r.text for r in secret_ledger.redact(table(spark, texts)).collect()}
+    for k in range(5):
+        assert got[k] == "é before [SECRET] after it, plainly"
+    assert got[5] == "x [SECRET] y"
+    assert got[6] is None and got[7] == "" and got[8] == "[SECRET] " * 2000
+
+
+def test_running_sums_over_many_blocks(spark):
+    from pyspark.sql import functions as F
+
+    from quernstone.llm.secret_ledger import running
+
+    values = [list(range(n)) for n in (0, 1, 255, 256, 257, 1000)]
+    rows = spark.createDataFrame([(v,) for v in values], "v array<bigint>").select("v", running(F.col("v"), lambda a, x: a + x).alias("s")).collect()
+    assert [r.s for r in rows] == [np.cumsum(v).tolist() for v in values]
+
+
+def test_copies_are_scanned_once(spark):
+    from quernstone.llm import secret_ledger
+    from quernstone.llm.staging import fresh_dir
+
+    path, rules = fresh_dir(spark, "ledger"), len(secret_ledger.BASE_RULES + secret_ledger.MORE_RULES)
+    docs = spark.createDataFrame([(1, "token=abcdefgh")] * 1000 + [(None, "token=abcdefgh"), (None, "b"), (1, "b")], "doc_id long, text string")
+    found = secret_ledger.scan_versions(docs, path)
+    assert found.count() == 1003 and spark.read.parquet(path).count() == 2 * rules
+    assert secret_ledger.redact(docs).where("text = '[SECRET]'").count() == 1001
