@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from quernstone.llm.staging import staged
 
 SPACES = r"[\x20\x09-\x0D]+"
-CLASSES = ("lower", "upper", "sign", "space", "beyond_ascii")
+CLASSES = ("lower", "upper", "digit", "sign", "space", "other")
 N_COMMON = 16
 
 
@@ -53,9 +53,15 @@ def repeated_words(hashes: Column, n: int = 5) -> Column:
 
 
 def class_counts(text: Column, word_chars: Column) -> list[Column]:
-    """Characters of each of ``CLASSES``; the last counts UTF-8 bytes beyond one per character."""
-    upper, sign = (F.regexp_count(text, F.lit(p)) for p in (r"[A-Z]", r"[!-@\[-`{-~]"))
-    return [F.greatest(F.lit(0), word_chars - upper - sign), upper, sign, F.length(text) - word_chars, F.octet_length(text) - F.length(text)]
+    """Characters of each of ``CLASSES``, which are disjoint and cover all code points; ``other`` has letters without case, among others.
+
+    Four classes are counted, white space is what words leave, and lower case is what none of these five has. ASCII texts take
+    the same classes by their ASCII members.
+    """
+    ascii_only = F.octet_length(text) == F.length(text)
+    some = ((r"[A-Z]", r"\p{Lu}"), (r"[0-9]", r"\p{N}"), (r"[!-/:-@\[-`{-~]", r"[\p{P}\p{S}]"), (r"[\x00-\x08\x0E-\x1F\x7F]", r"[^\p{Ll}\p{Lu}\p{N}\p{P}\p{S}\x20\x09-\x0D]"))
+    upper, digit, sign, other = (F.when(ascii_only, F.regexp_count(text, F.lit(a))).otherwise(F.regexp_count(text, F.lit(b))) for a, b in some)
+    return [word_chars - upper - digit - sign - other, upper, digit, sign, F.length(text) - word_chars, other]
 
 
 def shares(counts: Column) -> Column:
@@ -116,7 +122,7 @@ def references(found: DataFrame, min_reference_words: int = 20_000) -> DataFrame
     )
 
 
-def judge(docs: DataFrame, min_words: int = 50, most_class_distance: float = 0.26, most_common_distance: float = 0.43, min_reference_words: int = 20_000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def judge(docs: DataFrame, min_words: int = 50, most_class_distance: float = 0.26, most_common_distance: float = 0.40, min_reference_words: int = 20_000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Per row: ``keep`` and ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_distance, common_distance``."""
     found = staged(features(docs, keep), "features")
     refs = staged(references(found, min_reference_words), "references")

@@ -1,6 +1,8 @@
 """Inputs on which operators once did less than the whole job."""
 
+import collections
 import random
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -188,3 +190,60 @@ def test_copies_are_scanned_once(spark):
     found = secret_ledger.scan_versions(docs, path)
     assert found.count() == 1003 and spark.read.parquet(path).count() == 2 * rules
     assert secret_ledger.redact(docs).where("text = '[SECRET]'").count() == 1001
+
+
+def _class_of(c):
+    if c in " \t\n\x0b\x0c\r":
+        return 4
+    kind = unicodedata.category(c)
+    return {"Ll": 0, "Lu": 1}.get(kind, {"N": 2, "P": 3, "S": 3}.get(kind[0], 5))
+
+
+def test_divergence_against_brute_force(spark):
+    rnd = random.Random(17)
+    pools = {"en": "The of and Cat's runs. 12 over, HILL".split(), "ru": "и в Кот бежит, 7 — холм! не".split(), "zh": "日本 語 ，三 五。 山".split()}
+    rows = []
+    for lang, pool in pools.items():
+        for _ in range(12):
+            rows.append((len(rows), " ".join(rnd.choice(pool) + rnd.choice(["", "", "x" * rnd.randint(1, 3)]) for _ in range(rnd.randint(5, 40))), lang))
+        rows.append((len(rows), " ".join(rnd.choice("#%$ 123 QQ \x01 ²½".split()) for _ in range(30)), lang))
+    rows += [(len(rows), None, "en"), (len(rows) + 1, "of " * 30, None), (len(rows) + 2, "few words here", "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    classes, words = {}, {}
+    for d, text, lang in rows:
+        text = text or ""
+        classes[d] = [sum(_class_of(c) == k for c in text) for k in range(6)]
+        words[d] = text.split()
+    refs = {}
+    for lang in ("en", "ru", "zh"):
+        own = [d for d, _, other in rows if other == lang]
+        every = collections.Counter(w for d in own for w in words[d])
+        common = [w for w, _ in sorted(every.items(), key=lambda x: (-x[1], x[0].encode()))[: quality.N_COMMON]]
+        top = [every[w] for w in common]
+        refs[lang] = (np.sum([classes[d] for d in own], axis=0), common, np.array([*top, sum(every.values()) - sum(top)]))
+
+    def distance(p, q):
+        p, q = np.array(p) / sum(p), np.array(q) / sum(q)
+        part = lambda x, m: sum(a * np.log2(a / b) for a, b in zip(x, m, strict=True) if a > 0)
+        return max(0.0, (part(p, (p + q) / 2) + part(q, (p + q) / 2)) / 2) ** 0.5
+
+    got = {r.doc_id: r for r in quality.judge(docs, min_words=12, min_reference_words=100).collect()}
+    measured = 0
+    for d, _, lang in rows:
+        w, r = words[d], got[d]
+        places = collections.defaultdict(list)
+        for k in range(len(w) - 4):
+            places[tuple(w[k : k + 5])].append(k)
+        again = {p for at in places.values() if len(at) > 1 for k in at for p in range(k, k + 5)}
+        failed = len(w) < 10 or 100 * len(again) > 20 * len(w)
+        far = False
+        if lang in refs and len(w) >= 12:
+            ref_classes, common, ref_common = refs[lang]
+            seen = [w.count(c) for c in common]
+            a, b = distance(classes[d], ref_classes), distance([*seen, len(w) - sum(seen)], ref_common)
+            assert abs(r.class_distance - a) < 1e-9 and abs(r.common_distance - b) < 1e-9
+            far, measured = a > 0.26 or b > 0.40, measured + 1
+        else:
+            assert r.class_distance is None and r.common_distance is None
+        assert (r.base_failed, r.kept) == (failed, not failed and not far)
+    assert measured > 20
