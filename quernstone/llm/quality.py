@@ -6,7 +6,8 @@ documents of that language. A document is compared with its language's reference
 reference has less than ``min_reference_words`` words, the divergence gives no verdict.
 
 Defined results: null and empty texts have no words and fail the base rule; a null language has no reference;
-repeated rows are judged each; an empty table gives no rows; other columns are ignored.
+repeated rows are judged each; an empty table gives no rows; other columns are ignored. Repeated windows and common words are told
+by 64-bit hashes; of words with equal counts the one with the smaller hash is the more common one.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql.window import Window
 from quernstone.llm.staging import staged
 
 SPACES = r"[\x20\x09-\x0D]+"
-CLASSES = ("lower", "upper", "digit", "sign", "space", "other")
+CLASSES = ("lower", "space", "upper", "digit", "sign", "other")
 N_COMMON = 16
 
 
@@ -52,16 +53,22 @@ def repeated_words(hashes: Column, n: int = 5) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), none).otherwise(covered)
 
 
-def class_counts(text: Column, word_chars: Column) -> list[Column]:
-    """Characters of each of ``CLASSES``, which are disjoint and cover all code points; ``other`` has letters without case, among others.
+def sign_counts(text: Column) -> Column:
+    """struct of ``symbols`` (characters of ``[#*$%&|<>]``) and ``upper, digit, sign, other, lower_or_space`` characters.
 
-    Four classes are counted, white space is what words leave, and lower case is what none of these five has. ASCII texts take
-    the same classes by their ASCII members.
+    The classes are disjoint and cover all code points; ``other`` has letters without case, among others. Lower case and white space
+    go first, in one pass; the rest is short in most texts. ASCII texts take the same classes by their ASCII members.
     """
     ascii_only = F.octet_length(text) == F.length(text)
-    some = ((r"[A-Z]", r"\p{Lu}"), (r"[0-9]", r"\p{N}"), (r"[!-/:-@\[-`{-~]", r"[\p{P}\p{S}]"), (r"[\x00-\x08\x0E-\x1F\x7F]", r"[^\p{Ll}\p{Lu}\p{N}\p{P}\p{S}\x20\x09-\x0D]"))
-    upper, digit, sign, other = (F.when(ascii_only, F.regexp_count(text, F.lit(a))).otherwise(F.regexp_count(text, F.lit(b))) for a, b in some)
-    return [word_chars - upper - digit - sign - other, upper, digit, sign, F.length(text) - word_chars, other]
+    rest = F.when(ascii_only, F.regexp_replace(text, r"[a-z\x20\x09-\x0D]+", "")).otherwise(F.regexp_replace(text, r"[\p{Ll}\x20\x09-\x0D]+", ""))
+    count = lambda r, pattern: F.regexp_count(r, F.lit(pattern)).cast("long")
+
+    def counted(r: Column) -> Column:
+        upper, digit, sign = count(r, r"\p{Lu}"), count(r, r"\p{N}"), count(r, r"[\p{P}\p{S}]")
+        made = let(F.array(upper, digit, sign), lambda n: F.concat(n, F.array(F.length(r) - n[0] - n[1] - n[2])))
+        return F.struct(count(r, r"[#*$%&|<>]").alias("symbols"), made.alias("classes"), (F.length(text) - F.length(r)).cast("long").alias("lower_or_space"))
+
+    return let(rest, counted)
 
 
 def shares(counts: Column) -> Column:
@@ -90,28 +97,32 @@ def features(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
         ),
     )
     rows = docs.select(*keep, F.col("lang").alias("own_lang"), F.coalesce("text", F.lit("")).alias("own_text"))
-    return rows.select(*keep, "own_lang", "own_text", F.inline(by_words)).select(
+    rows = rows.select(*keep, "own_lang", "own_text", sign_counts(text).alias("signs"))
+    space = F.length(text).cast("long") - F.col("word_chars")
+    signs = F.col("signs")
+    return rows.select(*keep, "own_lang", "own_text", "signs", F.inline(by_words)).select(
         *keep,
         "own_lang",
         "n_words",
         "word_chars",
-        F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        signs["symbols"].alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("windows")).alias("n_repeat_words"),
-        F.array(*(c.cast("long") for c in class_counts(text, F.col("word_chars")))).alias("classes"),
+        F.concat(F.array(signs["lower_or_space"] - space, space), signs["classes"]).alias("classes"),
         "words",
     )
 
 
 def references(found: DataFrame, min_reference_words: int = 20_000) -> DataFrame:
-    """Per language: ``ref_lang, ref_classes, ref_common, common`` over all documents, from their features."""
+    """Per language: ``ref_lang, ref_classes, ref_common, common`` (hashes of words) over all documents, from their features."""
     rows = found.where("own_lang is not null")
     sums = rows.groupBy("own_lang").agg(F.sum("n_words").alias("n_words"), *(F.sum(F.get("classes", F.lit(k))).alias(name) for k, name in enumerate(CLASSES)))
-    counted = rows.select("own_lang", F.explode("words").alias("word")).groupBy("own_lang", "word").count()
+    # Words are counted by hash: rows of fixed size make a faster count and a smaller shuffle.
+    counted = rows.select("own_lang", F.explode("words").alias("word")).groupBy("own_lang", F.xxhash64("word").alias("word")).count()
     order = Window.partitionBy("own_lang").orderBy(F.desc("count"), "word")
     top = counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= N_COMMON)
     common = top.groupBy("own_lang").agg(F.array_sort(F.collect_list(F.struct("rank", "word", "count"))).alias("top"))
-    none = F.array().cast("array<struct<rank:int,word:string,count:bigint>>")
+    none = F.array().cast("array<struct<rank:int,word:bigint,count:bigint>>")
     top_counts = F.transform("top", lambda x: x["count"])
     in_top = F.aggregate(top_counts, F.lit(0).cast("long"), lambda a, x: a + x)
     return sums.where(F.col("n_words") >= min_reference_words).join(common, "own_lang", "left").withColumn("top", F.coalesce("top", none)).select(
@@ -126,8 +137,13 @@ def judge(docs: DataFrame, min_words: int = 50, most_class_distance: float = 0.2
     """Per row: ``keep`` and ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_distance, common_distance``."""
     found = staged(features(docs, keep), "features")
     refs = staged(references(found, min_reference_words), "references")
-    seen = F.filter("words", lambda w: F.array_contains(F.col("common"), w))
-    each = let(seen, lambda s: F.concat(F.transform("common", lambda c: F.size(s) - F.size(F.array_remove(s, c))), F.array(F.col("n_words").cast("int") - F.size(s))))
+    # A word whose cell of 64 has no common word is passed over; the hashes of the others are compared one by one.
+    cell = lambda h: h.bitwiseAND(F.lit(63).cast("bigint")).cast("int")
+    cells = F.aggregate("common", F.lit(0).cast("bigint"), lambda a, h: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), cell(h))))
+    refs = refs.withColumn("cells", cells)
+    seen = F.filter(F.transform("words", lambda w: F.xxhash64(w)), lambda h: F.call_function("shiftright", F.col("cells"), cell(h)).bitwiseAND(F.lit(1).cast("bigint")) == 1)
+    each = let(seen, lambda s: F.transform("common", lambda c: F.size(s) - F.size(F.array_remove(s, c))))
+    each = let(each, lambda n: F.concat(n, F.array(F.col("n_words").cast("int") - F.aggregate(n, F.lit(0), lambda a, x: a + x))))
     measured = F.col("ref_lang").isNotNull() & (F.col("n_words") >= min_words)
     far = F.coalesce(F.col("class_distance") > most_class_distance, F.lit(False)) | F.coalesce(F.col("common_distance") > most_common_distance, F.lit(False))
     doubles = lambda counts: F.transform(counts, lambda x: x.cast("double"))
