@@ -2,6 +2,11 @@
 
 Quality rules drop what they reject; of each group of near-duplicates the document with the smallest id stays; documents that
 hold a benchmark passage are dropped; secrets are masked in place; what is left is packed into sequences.
+
+Defined results: null and empty texts have no words, so the quality rules drop them; given to a later stage by themselves, they are
+linked with nothing, hold no passage and no secret, and are packed as their end id alone. Repeated rows are one group of
+near-duplicates, of which one row stays, also where ids are null or stand for several texts. An empty ``documents`` gives no
+pieces, an empty ``benchmark`` drops nothing. Other columns of ``documents`` pass through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quernstone.llm import decontaminate, jaccard, packing, quality, secret_ledger
 from quernstone.llm.queries import vocabulary
-from quernstone.llm.staging import staged, table
+from quernstone.llm.staging import discard, staged, table
 
 
 def _packed(docs: DataFrame) -> Column:
@@ -69,7 +74,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name)
+        if before is not None:  # never the input itself
+            discard(before, spark)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
