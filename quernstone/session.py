@@ -56,10 +56,14 @@ def shuffles_freed(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(_FREE, before)
 
 
+def written(df: DataFrame, label: str) -> str:
+    """Write ``df`` to a new folder below the shared one and return its path."""
+    path = work_dir(df.sparkSession, label)
+    with shuffles_freed(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
+    return path
+
+
 def materialised(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = work_dir(spark, label)
-    with shuffles_freed(spark):
-        df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, label))
