@@ -25,13 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm.quality import let
+from quernstone.llm.rowmap import bitmap_of, perhaps_in
 from quernstone.llm.staging import discard, staged
 
 #: All that is not part of a word, before and after lower-casing.
 GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: The row bitmap has 2**26 bits in 64-bit words: at most 2**20 rows of two longs.
-_ROW_BITS = 26
 
 
 def split_words(text: Column) -> Column:
@@ -49,23 +48,6 @@ def item_words(benchmark: DataFrame) -> DataFrame:
     return benchmark.select("item_id", F.transform(split_words(F.col("text")), fold).alias("item_words")).where("size(item_words) > 0").distinct()
 
 
-def _slot(row: Column) -> Column:
-    return F.xxhash64(row).bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-
-
-def rows_in_bitmap(rows: DataFrame) -> DataFrame:
-    """``slot_word, slots``: a bitmap of fixed size of the ``row`` keys. It has no false negatives and is no answer by itself."""
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), _slot(F.col("row")).bitwiseAND(F.lit(63)).cast("int"))
-    return rows.select(F.shiftright(_slot(F.col("row")), 6).alias("slot_word"), bit.alias("bit")).groupBy("slot_word").agg(F.bit_or("bit").alias("slots"))
-
-
-def perhaps_in(df: DataFrame, bitmap: DataFrame) -> DataFrame:
-    """``df`` with ``perhaps``: whether its ``row`` can be among the bitmap's. Nothing is shuffled."""
-    met = df.join(F.broadcast(bitmap), F.shiftright(_slot(F.col("row")), 6) == F.col("slot_word"), "left")  # at most 2**20 rows
-    bit = F.call_function("shiftright", F.col("slots"), _slot(F.col("row")).bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1))
-    return met.withColumn("perhaps", F.coalesce(bit == 1, F.lit(False))).drop("slot_word", "slots")
-
-
 def anchors_of(passages: DataFrame, frequency: DataFrame, window: int) -> DataFrame:
     """``term, passage, place``: the two rarest terms of each window. Terms that no document has cannot be anchors."""
     placed = passages.select("passage", F.posexplode("terms").alias("place", "term")).join(frequency, "term", "left")
@@ -103,7 +85,7 @@ def matches(postings: DataFrame, passages: DataFrame, window: int, near: int, sl
     met = staged(met.select("row", "passage", "shift"), "met")
     asked = met.join(passages, "passage").select("row", "passage", "shift", F.size("terms").alias("length"), F.posexplode("terms").alias("place", "term"))
     asked = asked.select("*", F.explode(F.sequence(F.lit(-slack), F.lit(slack))).alias("off")).withColumn("pos", F.col("shift") + F.col("place") + F.col("off")).where("pos >= 0")
-    held = perhaps_in(postings, rows_in_bitmap(met.select("row").distinct())).where("perhaps").drop("perhaps")
+    held = perhaps_in(postings, bitmap_of(met.select("row").distinct(), "row"), "row").where("perhaps").drop("perhaps")
     # Merged at every size, so that the plan and its shuffle grow in proportion.
     agreed = asked.join(held.hint("merge"), ["row", "pos", "term"]).groupBy("row", "passage", "shift", "length")
     agreed = agreed.agg(F.sort_array(F.collect_set(F.when(F.col("off") == 0, F.col("place")))).alias("exact"), F.sort_array(F.collect_set("place")).alias("about"))
@@ -137,7 +119,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, near:
     by_item = by_item.agg(F.array_sort(F.collect_list(F.when(F.col("whole"), F.struct("item")))).alias("whole"), F.count(F.lit(1)).alias("n_all"))
     judged = by_item.join(places, "row", "left").select("row", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.transform("whole", lambda x: x["item"]).alias("items"), (F.col("n_all") - F.size("whole")).alias("n_near_items"))
     judged = staged(judged, "judged")
-    told = perhaps_in(rows.drop("words"), rows_in_bitmap(judged))
+    told = perhaps_in(rows.drop("words"), bitmap_of(judged, "row"), "row")
     none = F.array().cast("array<string>")
     clean = told.where("not perhaps").select("kept_row", "n_words", F.lit(0).cast("long").alias("n_hit"), none.alias("items"), F.lit(0).cast("long").alias("n_near_items"))
     hit = told.where("perhaps").join(judged.hint("merge"), "row", "left").select("kept_row", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", none), F.coalesce("n_near_items", F.lit(0)).cast("long"))

@@ -37,7 +37,7 @@ from quernstone.llm.staging import bounded_batches, discard, gathered, staged
 from quernstone.llm.wordhash import shingle_sets
 
 _CELL_BITS, _SEGMENTS = 20, 64
-_SCAN = "kind int, doc_id long, node binary, grp long, n long, live int, tokens array<long>, places array<int>"
+_SCAN = "kind int, doc_id {id}, node binary, grp long, n long, live int, tokens array<long>, places array<int>"
 
 
 def _order_sketch(texts: DataFrame, width: int) -> np.ndarray:
@@ -106,10 +106,11 @@ def _sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 
 def similar_components(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
-    """Per row: ``doc_id, n_shingles, component_id``."""
+    """Per row: ``doc_id, n_shingles, component_id``. Ids are strings if those of ``docs`` are, or else longs."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    id_type = "string" if docs.schema["doc_id"].dataType.simpleString() == "string" else "long"
+    rows = docs.select(F.col("doc_id").cast(id_type).alias("doc_id"), "text")
     bits = repeated.bucket_bits(rows)
     order = spark.sparkContext.broadcast(_order_sketch(rows, width))  # 1 MB
 
@@ -128,7 +129,7 @@ def similar_components(docs: DataFrame, percent: int = 80, width: int = 5) -> Da
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prefixes = _Prefixes(order.value, percent)
         names = [x.split()[0] for x in _SCAN.split(", ")]
-        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+        kinds = (pa.int32(), pa.string() if id_type == "string" else pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()))
         for batch, unit in repeated.in_units(batches, 1):
             out: list[tuple] = []
             groups: set[int] = set()
@@ -147,7 +148,7 @@ def similar_components(docs: DataFrame, percent: int = 80, width: int = 5) -> Da
             for k in range(0, len(out), 2000):
                 columns = zip(*out[k : k + 2000], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names)
-    scanned = staged(rows.mapInArrow(scan, _SCAN), "shingled")
+    scanned = staged(rows.mapInArrow(scan, _SCAN.format(id=id_type)), "shingled")
     own = staged(scanned.where("kind = 0").select("doc_id", "node", "n"), "own")
     listed = scanned.where("kind = 1").select("grp", "n", (F.col("live") / F.greatest(F.lit(1), F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).alias("common"), F.explode(F.arrays_zip("tokens", "places")).alias("t"))
     listed = listed.select(F.col("t.tokens").alias("token"), F.struct((-F.col("common")).alias("rank"), "grp", "n", F.col("t.places").alias("place")).alias("g"))

@@ -23,7 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm.quality import let
-from quernstone.llm.staging import fresh_dir, staged
+from quernstone.llm.rowmap import bitmap_of, perhaps_in
+from quernstone.llm.staging import fresh_dir, in_full
 from quernstone.session import shuffles_freed
 
 _OPEN, _MID, _CLOSE, _STAND_IN = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3"
@@ -153,8 +154,12 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, m
     """
     columns = docs.columns
     text_id = F.sha2(F.coalesce("text", F.lit("")), 256)
-    found = scan_versions(docs.select("text", text_id.alias("content")).dropDuplicates(["content"]), rules=rules, version_id="content")
-    found = staged(found.where(F.size("findings") > 0), "to-mask")
+
+    def to_mask() -> DataFrame:
+        found = scan_versions(docs.select("text", text_id.alias("content")).dropDuplicates(["content"]), rules=rules, version_id="content")
+        return found.where(F.size("findings") > 0)
+
+    found = in_full(docs.sparkSession, "to-mask", to_mask)
     text = F.col("text")
 
     def cut(spans: Column, ends: Column) -> Column:
@@ -167,8 +172,10 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, m
     finish = running(F.transform("findings", lambda x: x["finish"]), lambda a, x: F.greatest(a, x))
     clean = F.when(F.col("findings").isNull(), text).otherwise(let(finish, lambda ends: cut(F.col("findings"), ends)))
     # Whole rows travel as one column, since a table's other columns may have any names.
-    rows = docs.select("text", text_id.alias("content_id"), F.struct(*columns).alias("document"))
-    masked = rows.join(found.select("content", "findings"), F.col("content_id") == F.col("content"), "left").select("document", clean.alias("masked"))
+    rows = docs.select("text", text_id.alias("content"), F.struct(*columns).alias("document"))
+    told = perhaps_in(rows, bitmap_of(found, "content"), "content")
+    plain = told.where("not perhaps").select("document", text.alias("masked"))
+    masked = plain.unionByName(told.where("perhaps").join(found.hint("merge"), "content", "left").select("document", clean.alias("masked")))
     new = {"text": F.col("masked"), "n_chars": F.length("masked").cast("long")}
     return masked.select(*(new.get(c, F.col("document").getField(c)).alias(c) for c in columns))
 

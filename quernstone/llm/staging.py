@@ -10,16 +10,46 @@ from __future__ import annotations
 
 import ctypes
 import sys
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 
-from quernstone.session import materialised, work_dir
+from quernstone.session import work_dir, written
 
 _C = ctypes.CDLL("libc.so.6") if sys.platform == "linux" else None
 
-fresh_dir = work_dir
-staged = materialised
+#: Folders made inside ``in_full``, innermost call last.
+_made: list[list[str]] = []
+
+
+def fresh_dir(spark: SparkSession, label: str) -> str:
+    """A new, unused path below the shared folder."""
+    path = work_dir(spark, label)
+    if _made:
+        _made[-1].append(path)
+    return path
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder and return it as read from there."""
+    path = written(df, label)
+    if _made:
+        _made[-1].append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def in_full(spark: SparkSession, label: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """``make()``, computed and staged now, after which all tables that were staged for it are deleted."""
+    _made.append([])
+    try:
+        path = written(make(), label)
+    finally:
+        for done in _made.pop():
+            discard(done, spark)
+    if _made:
+        _made[-1].append(path)
+    return spark.read.parquet(path)
 
 
 def gathered(df: DataFrame) -> list[Row]:
