@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from quernstone.llm import decontaminate, jaccard, packing, quality, secret_ledger
 from quernstone.llm.queries import vocabulary
-from quernstone.llm.staging import discard, staged, table
+from quernstone.llm.rowmap import bitmap_of, perhaps_in, without
+from quernstone.llm.staging import discard, in_full, staged, table
 
 
 def _packed(docs: DataFrame) -> Column:
@@ -24,32 +25,58 @@ def _packed(docs: DataFrame) -> Column:
     return F.struct(*docs.columns).alias("document")
 
 
+def _content(*parts: str) -> Column:
+    """A key of what a decision depends on; null and empty values differ."""
+    return F.concat_ws(":", *(F.coalesce(F.sha2(F.col(p).cast("string").cast("binary"), 256), F.lit("-")) for p in parts)).alias("key")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = docs.select("text", "lang", _packed(docs))
-    return quality.judge(rows, keep=("document",)).where("kept").select("document.*")
+    def rejected() -> DataFrame:
+        rows = docs.select("text", "lang", _content("text", "lang"))
+        return quality.judge(rows, keep=("key",)).where("not kept").select("key").distinct()
 
+    rows = docs.select(_content("text", "lang"), _packed(docs))
+    return without(rows, in_full(spark, "rejected", rejected), "key").select("document.*")
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component stays: the one with the smallest id, then text; null ids come last.
 
-    Rows have a key of their own, fixed by staging, since ids may be null or repeated. Rows without words are linked with
-    nothing, so each of them stays.
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each component stays: the one with the smallest id, then text; null ids come last. Of rows that are equal in
+    both, any one stays. Rows without words are linked with nothing, so each of them stays.
     """
-    rows = staged(docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text", _packed(docs)), "keyed")
-    found = jaccard.similar_components(rows.select(F.col("key").alias("doc_id"), "text"), percent=80, width=5)
-    member = found.select(F.col("doc_id").alias("key"), F.col("component_id").alias("component"))
-    member = staged(member.join(rows.select("key", F.struct(F.col("doc_id").isNull(), "doc_id").alias("id")), "key"), "members")
-    low = member.groupBy("component").agg(F.min("id").alias("low"), F.min("key").alias("key"), F.count(F.lit(1)).alias("n"))
-    several = member.join(low.where("n > 1").select("component", "low"), "component").where(F.col("id").eqNullSafe(F.col("low"))).select("component", "key")
-    chosen = several.join(rows.select("key", "text"), "key").groupBy("component").agg(F.min(F.struct("text", "key")).alias("first"))
-    stays = staged(low.where("n = 1").select("key").unionByName(chosen.select("first.key")), "stays")
-    return rows.join(stays, "key", "left_semi").select("document.*")
+    key = _content("doc_id", "text")
+
+    def decided() -> DataFrame:
+        """``key, again``: rows that go (false), and kept rows of which there are several (true)."""
+        found = jaccard.similar_components(docs.select(key, "text").withColumnRenamed("key", "doc_id"), percent=80, width=5)
+        member = staged(found.where("n_shingles > 0").groupBy(F.col("doc_id").alias("key"), F.col("component_id").alias("component")).agg(F.count(F.lit(1)).alias("copies")), "members")
+        lone = member.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("rows")).where("n > 1 or rows > 1").select("component")
+        member = staged(member.join(lone.hint("merge"), "component"), "grouped")
+        # Ids are looked up, and texts only where the smallest id of a component has several.
+        rows = perhaps_in(docs.select(key, F.struct(F.col("doc_id").isNull(), "doc_id").alias("id"), "text"), bitmap_of(member, "key"), "key").where("perhaps")
+        member = staged(member.join(rows.select("key", "id").distinct().hint("merge"), "key"), "with-ids")
+        low = member.groupBy("component").agg(F.min("id").alias("low"))
+        first = staged(member.join(low.hint("merge"), "component").where(F.col("id").eqNullSafe(F.col("low"))).select("component", "key"), "first")
+        tied = first.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
+        texts = staged(first.join(tied.hint("merge"), "component"), "tied").join(rows.select("key", "text").distinct().hint("merge"), "key")
+        chosen = first.join(tied.hint("merge"), "component", "left_anti").unionByName(texts.groupBy("component").agg(F.min(F.struct("text", "key")).alias("least")).select("component", "least.key"))
+        chosen = staged(chosen.select("key"), "chosen")
+        goes = member.join(chosen.hint("merge"), "key", "left_anti").select("key", F.lit(False).alias("again"))
+        return goes.unionByName(member.join(chosen.hint("merge"), "key", "left_semi").where("copies > 1").select("key", F.lit(True).alias("again")))
+
+    told_of = in_full(spark, "decided", decided)
+    told = perhaps_in(docs.select(key, _packed(docs)), bitmap_of(told_of, "key"), "key")
+    asked = told.where("perhaps").join(told_of.hint("merge"), "key", "left")
+    stays = told.where("not perhaps").select("document").unionByName(asked.where("again is null").select("document"))
+    return stays.unionByName(asked.where("again").dropDuplicates(["key"]).select("document")).select("document.*")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = docs.select("doc_id", "text", _packed(docs))
-    found = decontaminate.decontaminate(rows, table(spark, sf_dir, "benchmark"), keep=("document",))
-    return found.where("not contaminated").select("document.*")
+    def contaminated() -> DataFrame:
+        found = decontaminate.decontaminate(docs.select("text", _content("text")), table(spark, sf_dir, "benchmark"), keep=("key",))
+        return found.where("contaminated").select("key").distinct()
+
+    rows = docs.select(_content("text"), _packed(docs))
+    return without(rows, in_full(spark, "contaminated", contaminated), "key").select("document.*")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
