@@ -6,12 +6,14 @@ Its factors are word shapes, neighbouring words (the chain), and *skip links* be
 similar: the same address, or the same last digits, in any writing. Words in base spans are observed, and each repeat is linked
 with an observed word of its datum, however far that is. Neighbouring digit words that make up an observed number, as
 "988 555 2485", are one candidate. Loopy sum-product message passing, until messages settle,
-carries their labels along chain and skip links, so that a second writing of a number that the document shows to be
-personal is labelled like the first. Words without such support stay unlabelled: base patterns seldom miss, which
-``miss_log_odds`` states.
+carries labels along chain and skip links, so that a second writing of a number that the document shows to be
+personal is labelled like the first. Every document with candidate words has its field, also one without base spans: a datum that the
+patterns miss, since other digits touch it, is labelled by the shapes of its words and of their neighbours. Base patterns
+seldom miss, which ``miss_log_odds`` states. Neighbouring words of one label are one span.
 
-The weights are trained on a bounded sample: the ``sample_docs`` documents with candidate words that come first by hash of their
-id, with base spans as labels. Everything else covers all documents and whole texts.
+The weights are trained on a bounded sample: of the texts of at most ``sample_chars`` characters with candidate words, the
+``sample_docs`` distinct ones that come first by hash, with base spans as labels. Chain and skip tables are learned with all their
+entries; a prior pulls skip links to agreement where the sample has few. Everything else covers all documents and whole texts.
 
 Defined results: null and empty texts have no spans; repeated rows have equal results; an empty table trains nothing
 and gives no rows; other columns are ignored.
@@ -65,7 +67,7 @@ def base_spans(text: str) -> list[Span]:
             out.append((start, 0, end))
         at = text.find("@", max(at + 1, end))
     for m in _IP.finditer(text):
-        if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m.group().split(".")):
+        if all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or "0") <= 255 for x in m.group().split(".")):
             out.append((m.start(), 1, m.end()))
     for m in _CARD.finditer(text):
         digits = _NOT_DIGIT.sub("", m.group())
@@ -95,12 +97,12 @@ class Graph:
             while k < len(spans) and spans[k][2] <= m.start():
                 k += 1
             label = -1
-            for start, kind, end in spans[k:]:
-                if start >= m.end():
-                    break
-                if end > m.start():
-                    label = kind + 1
+            at = k
+            while at < len(spans) and spans[at][0] < m.end():
+                if spans[at][2] > m.start():
+                    label = spans[at][1] + 1
                     break
+                at += 1
             words.append((number, number, m.start(), m.end(), label))
         numbers: dict[str, set[str]] = {}
         key_at: dict[int, str] = {}  # end of a base span -> its number's key, if no single word has it
@@ -209,17 +211,17 @@ class Field:
             p /= p.sum(1, keepdims=True)
             self.unary += rate * (x.T @ (y - p) / len(rows) - decay * self.unary)
         share = y.mean(0) + 1e-3
-        for kind, name in enumerate(("chain", "skip")):
+        share /= share.sum()
+        # Links of the sample outweigh the prior once there are more than ``strength`` of a pair of labels; chain links have none.
+        for kind, (name, prior, strength) in enumerate((("chain", np.zeros_like(self.chain), 20.0), ("skip", 6.0 * np.eye(len(LABELS)), 50.0))):
             counts = np.full((len(LABELS), len(LABELS)), 0.5)
             for g in graphs:
                 for a, b, k in g.links:
                     if k == kind:
                         counts[max(0, g.observed[a]), max(0, g.observed[b])] += 1
             counts += counts.T
-            joint = counts / counts.sum()
-            # A skip link is between writings of one thing: its pull to agreement is at least this.
-            weight = np.log(joint / np.outer(share, share) * share.sum() ** 2)
-            setattr(self, name, np.clip(weight, -6, 6) if name == "chain" else np.maximum(np.clip(weight, -6, 6), 0) * np.eye(len(LABELS)) + 6.0 * np.eye(len(LABELS)))
+            learned = np.clip(np.log(counts / counts.sum() / np.outer(share, share)), -6, 6)
+            setattr(self, name, (counts * learned + strength * prior) / (counts + strength))
         return self
 
     def marginals(self, g: Graph, sweeps: int = 1000) -> np.ndarray:
@@ -257,19 +259,28 @@ class Field:
 
     def more_spans(self, text: str, spans: list[Span]) -> list[Span]:
         """Words that the field labels, outside base spans; neighbours of one label are one span."""
-        if not spans:
-            return []  # without an observed word no message can outweigh ``miss``
+        if not _SIGNS.search(text):
+            return []
         g = Graph(text, spans)
-        if all(x >= 0 for x in g.observed) or not any(k for _, _, k in g.links):
+        if all(x >= 0 for x in g.observed):
             return []
         p = self.marginals(g)
-        out: list[Span] = []
+        best = p.argmax(1)
+        chained = {(i, j) for i, j, kind in g.links if kind == 0}
+        found: list[tuple[int, int, int, int]] = []  # start, label, end, last node
         for i, (a, b) in enumerate(g.place):
-            label = int(p[i].argmax())
+            label = int(best[i])
             if g.observed[i] >= 0 or label == 0 or p[i, label] <= 0.5:
                 continue
+            if found and found[-1][1] == label and found[-1][3] == i - 1 and (i - 1, i) in chained and KINDS[label - 1] in ("card", "phone") and len(_NOT_DIGIT.sub("", text[found[-1][0] : b])) <= 19:
+                found[-1] = (found[-1][0], label, b, i)
+            else:
+                found.append((a, label, b, i))
+        out: list[Span] = []
+        for a, label, b, _ in found:
             word = text[a:b]
-            a, b = a + len(word) - len(word.lstrip(".,;:!?([<\"'")), b - len(word) + len(word.rstrip(".,;:!?)]>\"'"))
+            opened = word.count("(") - word.count(")")
+            a, b = a + len(word) - len(word.lstrip(".,;:!?([<\"'" if opened > 0 or not word.startswith("(") else ".,;:!?[<\"'")), b - len(word) + len(word.rstrip(".,;:!?)]>\"'"))
             if a < b:
                 out.append((a, label - 1, b))
         return out
@@ -283,8 +294,11 @@ def find_personal_data(docs: DataFrame, sample_docs: int = 2000, sample_chars: i
     """Per row: ``doc_id``, counts of base spans, ``base_sha256``, ``spans``."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    sample = rows.where((F.length("text") <= sample_chars) & F.col("text").rlike("[0-9]{3}|@")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).select("text")
-    field = Field(miss_log_odds).train([r.text for r in sample.collect()])  # at most sample_docs * sample_chars characters
+    # The sample's hashes come first, then only its texts, each once: at most sample_docs * sample_chars characters.
+    candidates = rows.where((F.length("text") <= sample_chars) & F.col("text").rlike("[0-9@+]")).select(F.xxhash64("text").alias("h"), "text")
+    chosen = candidates.select("h").distinct().orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
+    texts = [] if chosen is None else candidates.where(F.col("h") <= chosen).dropDuplicates(["h"]).orderBy("h").collect()
+    field = Field(miss_log_odds).train([r.text for r in texts])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,7 +306,7 @@ def find_personal_data(docs: DataFrame, sample_docs: int = 2000, sample_chars: i
             for text in batch.column(1).to_pylist():
                 spans = base_spans(text)
                 base = listed(spans)
-                every = listed(sorted(spans + field.more_spans(text, spans))) if spans else ""
+                every = listed(sorted(spans + field.more_spans(text, spans)))
                 kinds = [k for _, k, _ in spans]
                 for column, value in zip(out, (*(kinds.count(k) for k in range(4)), hashlib.sha256(base.encode()).hexdigest(), every), strict=True):
                     column.append(value)
