@@ -21,3 +21,12 @@ def auc(df: DataFrame, label: str, score: str) -> DataFrame:
     per = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
     ranked = with_prefix_sums(per, [score], ["neg"])
     return ranked.agg(F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2)).alias("area"), F.sum("pos").alias("p"), F.sum("neg").alias("n")).select(F.try_divide("area", F.col("p") * F.col("n")).alias("auc"))
+
+
+def roc(df: DataFrame, label: str, score: str) -> DataFrame:
+    """``threshold, fpr, tpr`` at each score, rows with at least that score counting as positive; null rates where a class is absent."""
+    per = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
+    ranked = with_prefix_sums(per, [score], ["pos", "neg"])
+    totals = per.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    rate = lambda before, total: F.try_divide(F.col(total) - F.col(before), F.col(total))
+    return ranked.crossJoin(F.broadcast(totals)).select(F.col(score).alias("threshold"), rate("before_neg", "n").alias("fpr"), rate("before_pos", "p").alias("tpr"))

@@ -1,8 +1,8 @@
 """All registered queries of the engine over the driver's tables, and the SQL that states the same.
 
 Doubles are rounded to six digits on both sides where the order of additions may differ. The ratings are a projection: a customer
-rates a part by the mean quantity ordered. So is the graph: supplier -> part number modulo the number of suppliers, thinned to
-single-unit first lines.
+rates a part by the mean quantity ordered. So is the graph: supplier -> part number modulo the number of suppliers, one edge for each
+line. Slot averages cover the first two days, which is what 144 slices of 20 minutes are.
 """
 
 from __future__ import annotations
@@ -117,10 +117,10 @@ def wordcount_per_topic(spark, sf_dir):
     return words.top_words(words.word_counts(words.tokenized(table(spark, sf_dir, "documents")), ["lang"]), ["lang"])
 
 
-@query("SELECT CAST(ts AS DATE) AS day, event_type AS word, count(*) AS cnt FROM events GROUP BY ALL")
+@query(rf"""SELECT day, word, count(*) AS cnt FROM (SELECT CAST(ts AS DATE) AS day, unnest(regexp_split_to_array({_CLEAN.format("event_type || ' ' || props")}, '\s')) AS word FROM events) WHERE word NOT IN ({_STOP}) GROUP BY ALL""")
 def wordcount_per_day(spark, sf_dir):
-    events = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), F.array("event_type").alias("words"))
-    return words.word_counts(events, ["day"])
+    events = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), F.concat_ws(" ", "event_type", "props").alias("text"))
+    return words.word_counts(words.tokenized(events), ["day"])
 
 
 @query(rf"""WITH t AS ({_TOKENS}), v AS ({_TOP}),
@@ -169,6 +169,17 @@ def by_hour(spark, sf_dir):
     return rounded(series.by_hour(table(spark, sf_dir, "events")), "q1", "q2", "q3")
 
 
+@query("SELECT dayname(ts) AS weekday, count(*) AS n, " + ", ".join(f"round(quantile_cont(value, {q}), 6) AS q{i}" for i, q in ((1, 0.25), (2, 0.5), (3, 0.75))) + " FROM events WHERE value > 0 GROUP BY ALL")
+def by_weekday(spark, sf_dir):
+    events = table(spark, sf_dir, "events").where("value > 0").select(F.date_format("ts", "EEEE").alias("weekday"), "value")
+    return rounded(series.quartiles(events, ["weekday"], "value"), "q1", "q2", "q3")
+
+
+@query("SELECT event_id, strftime(ts, '%d/%m/%Y %H:%M:%S') AS happened FROM events ORDER BY ts, event_id LIMIT 50")
+def earliest_events(spark, sf_dir):
+    return series.earliest(table(spark, sf_dir, "events"), 50, "event_id").select("event_id", F.date_format("ts", "dd/MM/yyyy HH:mm:ss").alias("happened"))
+
+
 @query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS cnt FROM events GROUP BY ALL")
 def count_per_day(spark, sf_dir):
     return series.per_day(table(spark, sf_dir, "events"), ["event_type"])
@@ -273,10 +284,20 @@ def minhash_signature(spark, sf_dir):
 c AS (SELECT min(doc_id) AS doc_id FROM k GROUP BY v), r AS (SELECT s.* FROM s SEMI JOIN c USING (doc_id))
 SELECT x.doc_id AS doc_a, y.doc_id AS doc_b, count(*) AS common FROM r x JOIN r y ON x.hash_no = y.hash_no AND x.min_hash = y.min_hash AND x.doc_id < y.doc_id
 GROUP BY ALL HAVING count(*) >= 0.01 * (SELECT count(*) FROM k)""")
-def lsh_pairs(spark, sf_dir):
+def lsh_pairs_of_documents(spark, sf_dir):
+    """The rule as it was first stated: one-row bands, and a threshold that grows with the number of documents."""
     return similarity.lsh_pairs(minhash_signature(spark, sf_dir))
 
 
+@query(f"""WITH s AS ({_SIGNATURE}), k AS (SELECT doc_id, list(min_hash ORDER BY hash_no) AS v FROM s GROUP BY doc_id),
+c AS (SELECT min(doc_id) AS doc_id FROM k GROUP BY v),
+r AS (SELECT doc_id, hash_no // 4 AS band, list(min_hash ORDER BY hash_no) AS bucket FROM s SEMI JOIN c USING (doc_id) GROUP BY ALL)
+SELECT x.doc_id AS doc_a, y.doc_id AS doc_b, count(*) AS common FROM r x JOIN r y ON x.band = y.band AND x.bucket = y.bucket AND x.doc_id < y.doc_id
+GROUP BY ALL HAVING count(*) >= 5""")
+def lsh_pairs(spark, sf_dir):
+    return similarity.lsh_pairs(minhash_signature(spark, sf_dir), rows_per_band=4, threshold=0.2, of_bands=True)
+
+
 @query(f"WITH s AS ({_SIGNATURE}), k AS (SELECT doc_id, list(min_hash ORDER BY hash_no) AS v FROM s GROUP BY doc_id) SELECT doc_id, min(doc_id) OVER (PARTITION BY v) AS class_id FROM k")
 def lsh_classes(spark, sf_dir):
     return similarity.lsh_classes(minhash_signature(spark, sf_dir))
@@ -346,13 +367,13 @@ def item_cf(spark, sf_dir):
 
 # ---- graph
 
-_EDGES = "edges AS (SELECT l_suppkey AS src, l_partkey % (SELECT max(l_suppkey) + 1 FROM lineitem) AS dst FROM lineitem WHERE l_quantity = 1 AND l_linenumber = 1)"
+_EDGES = "edges AS (SELECT l_suppkey AS src, l_partkey % (SELECT max(l_suppkey) + 1 FROM lineitem) AS dst FROM lineitem)"
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     n = lines.agg((F.max("l_suppkey") + 1).alias("n"))
-    return lines.where("l_quantity = 1 and l_linenumber = 1").crossJoin(F.broadcast(n)).select(F.col("l_suppkey").alias("src"), F.pmod("l_partkey", "n").alias("dst"))
+    return lines.crossJoin(F.broadcast(n)).select(F.col("l_suppkey").alias("src"), F.pmod("l_partkey", "n").alias("dst"))
 
 
 @query(f"WITH {_EDGES} SELECT src, count(*) AS out_degree FROM edges GROUP BY src")
@@ -397,6 +418,12 @@ def auc(spark, sf_dir):
     return rounded(evaluation.auc(_scored(spark, sf_dir), "label", "score"), "auc")
 
 
+@query(f"""WITH {_SCORED}, g AS (SELECT score, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM s GROUP BY score)
+SELECT score AS threshold, round(sum(neg) OVER w / sum(neg) OVER (), 6) AS fpr, round(sum(pos) OVER w / sum(pos) OVER (), 6) AS tpr FROM g WINDOW w AS (ORDER BY score DESC)""")
+def roc_curve(spark, sf_dir):
+    return rounded(evaluation.roc(_scored(spark, sf_dir), "label", "score"), "fpr", "tpr")
+
+
 # ---- streams
 
 def scorer(df: DataFrame):
@@ -413,3 +440,8 @@ def fraud_filter_stream(spark, sf_dir):
 @query("SELECT count(*) AS cnt FROM events")
 def stream_count(spark, sf_dir):
     return jobs.run_complete(jobs.running_count(jobs.file_stream(spark, sf_dir, "events")), "count")
+
+
+@query("SELECT CAST(0 AS BIGINT) AS batch_id, count(*) AS cnt FROM events")
+def batch_counts(spark, sf_dir):
+    return jobs.batch_counts(jobs.file_stream(spark, sf_dir, "events"), "batches")

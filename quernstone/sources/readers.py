@@ -61,8 +61,10 @@ def tagged_bodies(spark: SparkSession, path: str, tag: str = "BODY") -> DataFram
 
 
 def json_events(df: DataFrame, schema: str, column: str = "value") -> DataFrame:
-    """Parse a JSON message column once."""
-    return df.select("*", F.from_json(F.col(column).cast("string"), schema).alias("event")).select("event.*")
+    """Parse a JSON message column once. A value that is a JSON string holding JSON, as some senders encode it, is unwrapped first."""
+    value = F.col(column).cast("string")
+    plain = F.when(F.ltrim(value).startswith('"'), F.get_json_object(value, "$")).otherwise(value)
+    return df.select(F.from_json(plain, schema).alias("event")).select("event.*")
 
 
 def to_messages(df: DataFrame, key: str) -> DataFrame:
