@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions.ordered import with_dense_ids
 from quernstone.functions.text import clean_body, shingles
+from quernstone.session import materialised
 
 PRIME = 110_641
 
@@ -33,7 +34,8 @@ def shingle_ids(pairs: DataFrame) -> DataFrame:
 
 
 def shingle_matrix(pairs: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """``shingle_id, doc`` of every 1 in the presence matrix."""
+    """``shingle_id, doc`` of every 1 in the presence matrix. The pairs are read twice, so they are made once."""
+    pairs = materialised(pairs, "shingle-pairs")
     return pairs.join(shingle_ids(pairs), "shingle").select("shingle_id", doc)
 
 

@@ -15,7 +15,7 @@ def tokenized(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def word_counts(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """``keys, word, cnt`` from a ``words`` column."""
+    """``keys, word, cnt`` from a ``words`` column. Counts combine before the shuffle."""
     keys = keys or []
     return df.select(*keys, F.explode("words").alias("word")).groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("cnt"))
 
