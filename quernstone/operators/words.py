@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quernstone.functions.text import clean, clean_strict, tokens, without_stop_words
+from quernstone.functions.text import STOP_WORDS, clean, clean_strict, tokens, without_stop_words
 
 
 def tokenized(df: DataFrame, text: str = "text") -> DataFrame:
@@ -14,6 +14,13 @@ def tokenized(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("words", without_stop_words(tokens(clean(F.col(text)))))
 
 
+def text_word_counts(df: DataFrame, keys: list[str] | None = None, text: str = "text") -> DataFrame:
+    """``word_counts`` of ``tokenized`` rows, with stop words dropped after the explode, where the check is compiled code."""
+    keys = keys or []
+    rows = df.select(*keys, F.explode(tokens(clean(F.col(text)))).alias("word")).where(~F.col("word").isin(*STOP_WORDS))
+    return rows.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("cnt"))
+
+
 def word_counts(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """``keys, word, cnt`` from a ``words`` column. Counts combine before the shuffle."""
     keys = keys or []
@@ -32,7 +39,7 @@ def cooccurrence(df: DataFrame, key: str, n: int = 100, text: str = "text", doc:
     The vocabulary comes from tokens without stop words; texts are split at blanks with them.
     A text contributes pairs of at most ``n`` words.
     """
-    vocabulary = top_words(word_counts(tokenized(df, text), [key]), [key], n).groupBy(key).agg(F.collect_set("word").alias("vocabulary"))
+    vocabulary = top_words(text_word_counts(df, [key], text), [key], n).groupBy(key).agg(F.collect_set("word").alias("vocabulary"))
     here = df.select(key, F.array_distinct(F.split(clean(F.col(text)), " ")).alias("found")).join(vocabulary, key)
     here = here.select(key, F.array_sort(F.array_intersect("found", "vocabulary")).alias("w"))
     pairs = F.flatten(F.transform("w", lambda a, i: F.transform(F.slice(F.col("w"), i + 2, F.size("w")), lambda b: F.struct(a.alias("a"), b.alias("b")))))

@@ -109,18 +109,18 @@ _TOP = "SELECT lang, word, cnt, rank FROM (SELECT *, row_number() OVER (PARTITIO
 
 @query(f"SELECT word, count(*) AS cnt FROM ({_TOKENS}) GROUP BY word")
 def wordcount_total(spark, sf_dir):
-    return words.word_counts(words.tokenized(table(spark, sf_dir, "documents")))
+    return words.text_word_counts(table(spark, sf_dir, "documents"))
 
 
 @query(f"WITH t AS ({_TOKENS}) {_TOP}")
 def wordcount_per_topic(spark, sf_dir):
-    return words.top_words(words.word_counts(words.tokenized(table(spark, sf_dir, "documents")), ["lang"]), ["lang"])
+    return words.top_words(words.text_word_counts(table(spark, sf_dir, "documents"), ["lang"]), ["lang"])
 
 
 @query(rf"""SELECT day, word, count(*) AS cnt FROM (SELECT CAST(ts AS DATE) AS day, unnest(regexp_split_to_array({_CLEAN.format("event_type || ' ' || props")}, '\s')) AS word FROM events) WHERE word NOT IN ({_STOP}) GROUP BY ALL""")
 def wordcount_per_day(spark, sf_dir):
     events = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), F.concat_ws(" ", "event_type", "props").alias("text"))
-    return words.word_counts(words.tokenized(events), ["day"])
+    return words.text_word_counts(events, ["day"])
 
 
 @query(rf"""WITH t AS ({_TOKENS}), v AS ({_TOP}),

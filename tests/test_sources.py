@@ -155,3 +155,8 @@ def test_streams(spark, sf_dir, tmp_path):
     jobs.run(stream, str(tmp_path / "state"), sink=jobs.table_sink(str(tmp_path / "out"))).awaitTermination()  # the state knows what is done
     assert spark.read.parquet(str(tmp_path / "out")).count() == n
     assert [tuple(r) for r in jobs.batch_counts(stream, "counts").collect()] == [(0, n)]
+
+
+def test_word_counts_both_ways(spark):
+    df = spark.createDataFrame([("a  the b B,",), ("",), (None,), ("b the",)], "text string")
+    assert sorted(map(tuple, words.text_word_counts(df).collect())) == sorted(map(tuple, words.word_counts(words.tokenized(df)).collect())) == [("", 3), ("b", 3)]
