@@ -1,5 +1,7 @@
 """Readers and writers on files written here, and small cases worked out by hand."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,6 +114,30 @@ def test_near_duplicates_by_hand(spark):
     assert [r.min_hash for r in rows] == least([1, 2, 3]) + least([2, 3]) + least([4])
 
 
+def test_matrix_of_many_partitions_repeated_rows_and_null_ids(spark):
+    texts = ["a b c a b", "b\tc a", "", "one", None, "a b", "c a  b.c", "a! b a b"] + [f"w{i % 7} x{i % 5} a b" for i in range(40)]
+    rows = [(d if d else None, t) for d, t in enumerate(texts)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    pairs = {(d, f"{v} {w}") for d, t in rows for u in [re.sub(" +", " ", re.sub("[?,.$]", " ", t or "")).strip().split(" ")] for v, w in zip(u, u[1:], strict=False)}
+    ids = {s: i + 1 for i, s in enumerate(sorted({s for _, s in pairs}))}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        matrix = similarity.document_matrix(docs)
+        got = [tuple(r) for r in matrix.select("shingle_id", "doc_id").collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert sorted(got, key=repr) == sorted(((ids[s], d) for d, s in pairs), key=repr)
+    assert similarity.signatures(similarity.document_matrix(docs.limit(0))).count() == 0
+
+
+def test_shingle_ids_come_without_a_join(spark):
+    pairs = spark.createDataFrame([(0, "a b"), (1, "a b")], "doc_id long, shingle string")
+    assert "SortMergeJoin" not in similarity.shingle_matrix(pairs)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_shingles_are_linear_in_the_text(spark):
     docs = spark.createDataFrame([(n, " ".join(f"w{i}" for i in range(n))) for n in (1000, 16_000)], "doc_id long, text string")
     assert {r.doc_id: r.n for r in docs.select("doc_id", F.size(shingles(F.split("text", " "), 3)).alias("n")).collect()} == {1000: 998, 16_000: 15_998}
