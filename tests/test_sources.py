@@ -126,16 +126,23 @@ def test_matrix_of_many_partitions_repeated_rows_and_null_ids(spark):
     try:
         matrix = similarity.document_matrix(docs)
         got = [tuple(r) for r in matrix.select("shingle_id", "doc_id").collect()]
+        signs = {r.doc_id: r.s for r in similarity.whole_signatures(matrix, n=4, prime=11).collect()}
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     assert sorted(got, key=repr) == sorted(((ids[s], d) for d, s in pairs), key=repr)
+    assert signs == {d: [min((ids[s] * a + b) % 11 for e, s in pairs if e == d) for a, b in similarity.coefficients(4, 11)] for d in {d for d, _ in pairs}}
     assert similarity.signatures(similarity.document_matrix(docs.limit(0))).count() == 0
 
 
-def test_shingle_ids_come_without_a_join(spark):
+def test_signatures_shuffle_one_row_for_each_pair(spark):
+    """Partial minima of every map task for every document once made the shuffle grow with documents times tasks."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    matrix = spark.range(1000).selectExpr("id AS shingle_id", "id % 10 AS doc_id")
+    text = plan(similarity.signatures(matrix))
+    assert text.count("Exchange") == 1 and "Aggregate" not in text
     pairs = spark.createDataFrame([(0, "a b"), (1, "a b")], "doc_id long, shingle string")
-    assert "SortMergeJoin" not in similarity.shingle_matrix(pairs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan(similarity.shingle_matrix(pairs))
 
 
 def test_shingles_are_linear_in_the_text(spark):
