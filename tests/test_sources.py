@@ -145,6 +145,13 @@ def test_signatures_shuffle_one_row_for_each_pair(spark):
     assert "SortMergeJoin" not in plan(similarity.shingle_matrix(pairs))
 
 
+def test_both_forms_of_signatures_give_the_same_classes(spark):
+    whole = spark.createDataFrame([(0, [1, 2, 3]), (1, [1, 2, 3]), (2, [1, 2, 4]), (None, [5, 6, 7]), (4, [12, 3, 9])], "doc_id long, s array<long>")
+    long = whole.select("doc_id", F.posexplode("s").alias("hash_no", "min_hash"))
+    for form in (whole, long):
+        assert {r.doc_id: r.class_id for r in similarity.lsh_classes(form).collect()} == {0: 0, 1: 0, 2: 2, None: None, 4: 4}
+
+
 def test_shingles_are_linear_in_the_text(spark):
     docs = spark.createDataFrame([(n, " ".join(f"w{i}" for i in range(n))) for n in (1000, 16_000)], "doc_id long, text string")
     assert {r.doc_id: r.n for r in docs.select("doc_id", F.size(shingles(F.split("text", " "), 3)).alias("n")).collect()} == {1000: 998, 16_000: 15_998}
