@@ -145,11 +145,23 @@ def test_signatures_shuffle_one_row_for_each_pair(spark):
     assert "SortMergeJoin" not in plan(similarity.shingle_matrix(pairs))
 
 
-def test_both_forms_of_signatures_give_the_same_classes(spark):
+def test_no_pair_is_formed_where_none_can_reach_the_threshold(spark):
+    """One bucket held by all: 4,498,500 pairs, each with one of two buckets in common, against 0.01 x 3000 documents."""
+    signature = spark.range(3000).selectExpr("id AS doc_id", "array(7L, id) AS s")
+    pairs = similarity.lsh_pairs(signature)
+    assert pairs.count() == 0
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "bands" in plan and "least" in plan.split("SortMergeJoin")[-1]
+    few = similarity.lsh_pairs(signature.where("doc_id < 100")).collect()
+    assert len(few) == 4950 and {r.common for r in few} == {1}
+
+
+def test_both_forms_of_signatures_give_the_same_classes_and_pairs(spark):
     whole = spark.createDataFrame([(0, [1, 2, 3]), (1, [1, 2, 3]), (2, [1, 2, 4]), (None, [5, 6, 7]), (4, [12, 3, 9])], "doc_id long, s array<long>")
     long = whole.select("doc_id", F.posexplode("s").alias("hash_no", "min_hash"))
     for form in (whole, long):
         assert {r.doc_id: r.class_id for r in similarity.lsh_classes(form).collect()} == {0: 0, 1: 0, 2: 2, None: None, 4: 4}
+        assert [tuple(r) for r in similarity.lsh_pairs(form, 2, 0.5, of_bands=True).collect()] == [(0, 2, 1)]
 
 
 def test_shingles_are_linear_in_the_text(spark):
