@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quernstone.functions.text import STOP_WORDS, clean, clean_strict, tokens, without_stop_words
+from quernstone.session import materialised
 
 
 def tokenized(df: DataFrame, text: str = "text") -> DataFrame:
@@ -14,10 +15,15 @@ def tokenized(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("words", without_stop_words(tokens(clean(F.col(text)))))
 
 
+def exploded(words: Column) -> Column:
+    """An explode whose nulls are to be dropped: Spark filters the input of an inner one first, which evaluates ``words`` twice."""
+    return F.explode_outer(words)
+
+
 def text_word_counts(df: DataFrame, keys: list[str] | None = None, text: str = "text") -> DataFrame:
     """``word_counts`` of ``tokenized`` rows, with stop words dropped after the explode, where the check is compiled code."""
     keys = keys or []
-    rows = df.select(*keys, F.explode(tokens(clean(F.col(text)))).alias("word")).where(~F.col("word").isin(*STOP_WORDS))
+    rows = df.select(*keys, exploded(tokens(clean(F.col(text)))).alias("word")).where(F.col("word").isNotNull() & ~F.col("word").isin(*STOP_WORDS))
     return rows.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("cnt"))
 
 
@@ -37,13 +43,15 @@ def cooccurrence(df: DataFrame, key: str, n: int = 100, text: str = "text", doc:
     """``key, w1, w2, cnt``: in how many texts of a key two of its ``n`` top words are found together, both ways round.
 
     The vocabulary comes from tokens without stop words; texts are split at blanks with them.
-    A text contributes pairs of at most ``n`` words.
+    A text contributes pairs of at most ``n`` words. The vocabulary has one row for each key and is written first, so that
+    Spark knows its size: below its limit it is broadcast and no text moves, where a shuffle would send all texts of a key to one task.
     """
     vocabulary = top_words(text_word_counts(df, [key], text), [key], n).groupBy(key).agg(F.collect_set("word").alias("vocabulary"))
-    here = df.select(key, F.array_distinct(F.split(clean(F.col(text)), " ")).alias("found")).join(vocabulary, key)
+    here = df.select(key, F.array_distinct(F.split(clean(F.col(text)), " ")).alias("found")).join(materialised(vocabulary, "vocabulary"), key)
     here = here.select(key, F.array_sort(F.array_intersect("found", "vocabulary")).alias("w"))
-    pairs = F.flatten(F.transform("w", lambda a, i: F.transform(F.slice(F.col("w"), i + 2, F.size("w")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    counted = here.select(key, F.explode(pairs).alias("p")).groupBy(key, "p.a", "p.b").agg(F.count(F.lit(1)).alias("cnt"))
+    first = here.select(key, "w", F.posexplode_outer("w").alias("i", "a"))
+    pairs = first.select(key, "a", exploded(F.slice("w", F.col("i") + 2, F.size("w"))).alias("b")).where("b is not null")
+    counted = pairs.groupBy(key, "a", "b").agg(F.count(F.lit(1)).alias("cnt"))
     both = F.array(F.struct(F.col("a").alias("w1"), F.col("b").alias("w2")), F.struct(F.col("b").alias("w1"), F.col("a").alias("w2")))
     return counted.select(key, F.inline(both), "cnt")
 

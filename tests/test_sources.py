@@ -1,11 +1,12 @@
 """Readers and writers on files written here, and small cases worked out by hand."""
 
+import collections
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from quernstone.functions.text import clean, shingles, tokens, without_stop_words
+from quernstone.functions.text import clean, clean_strict, shingles, tokens, without_stop_words
 from quernstone.operators import evaluation, graph, profile, recommend, series, similarity, words
 from quernstone.sources import readers
 from quernstone.streaming import jobs
@@ -176,6 +177,23 @@ def test_text_and_words(spark):
     assert {(r.w1, r.w2): r.cnt for r in words.cooccurrence(sentences, "topic").collect()} == {("x1", "y1"): 1, ("y1", "x1"): 1, ("x1", "z1"): 1, ("z1", "x1"): 1}
 
 
+def test_texts_of_a_key_do_not_meet_in_one_task(spark):
+    rows = [(i, "k" if i % 9 else "m", f"x{i % 3} y{i % 2} z") for i in range(60)]
+    found = words.cooccurrence(spark.createDataFrame(rows, "doc_id long, topic string, text string"), "topic")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    want = collections.Counter((k, a, b) for _, k, t in rows for a in t.split() for b in t.split() if a != b)
+    assert {(r.topic, r.w1, r.w2): r.cnt for r in found.collect()} == want
+
+
+def test_classes_of_characters(spark):
+    chars = spark.createDataFrame([(chr(c),) for c in range(0x3100) if not 0xD800 <= c < 0xE000] + [("\U0001F600",), ("a\u0301",)], "c string")
+    old = lambda pattern, by: F.regexp_replace("c", pattern, by)
+    assert chars.where(F.trim(F.lower(old(r"[^\sa-zA-Z0-9]", ""))) != clean(F.col("c"))).count() == 0
+    strict = F.trim(F.regexp_replace(F.regexp_replace(F.lower("c"), r"[^a-z\s]", " "), r"\s+", " "))
+    assert chars.where(strict != clean_strict(F.col("c"))).count() == 0
+
+
 def test_profiles(spark):
     df = spark.createDataFrame([(1.0,), (None,), (4.0,)], "v double")
     assert sorted(r.v for r in profile.impute_mean(df, ["v"]).collect()) == [1.0, 2.5, 4.0]
