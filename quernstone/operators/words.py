@@ -57,8 +57,17 @@ def cooccurrence(df: DataFrame, key: str, n: int = 100, text: str = "text", doc:
 
 
 def bag_of_words(df: DataFrame, doc: str = "doc_id", text: str = "text", min_chars: int = 4, min_share: float = 0.01) -> DataFrame:
-    """``doc, term, cnt`` of terms that at least ``min_share`` of the documents hold."""
-    words: Column = F.filter(F.split(clean_strict(F.col(text)), " "), lambda w: F.length(w) >= min_chars)
-    long = df.select(doc, F.explode(without_stop_words(words)).alias("term")).groupBy(doc, "term").agg(F.count(F.lit(1)).alias("cnt"))
-    held = long.groupBy("term").agg(F.count(F.lit(1)).alias("docs")).crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("n")))).where(F.col("docs") >= min_share * F.col("n"))
-    return long.join(held.select("term"), "term", "left_semi")
+    """``doc, term, cnt`` of terms that at least ``min_share`` of the documents hold.
+
+    Terms that too few rows hold can't be held by enough documents and are dropped before any pair of document and term moves. The
+    others are at most the mean number of terms in a row / ``min_share``, at any size of the table; their documents are
+    counted exactly, since several rows may share an id.
+    """
+    split = F.split(clean_strict(F.col(text)), " ")
+    kept = F.col("term").isNotNull() & (F.length("term") >= min_chars) & ~F.col("term").isin(*STOP_WORDS)
+    rows = df.agg((min_share * F.count(F.lit(1))).alias("least"))
+    enough = lambda held: held.groupBy("term").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(rows)).where("n >= least").select("term")
+    perhaps = materialised(enough(df.select(exploded(F.array_distinct(split)).alias("term")).where(kept)), "terms")
+    long = df.select(doc, exploded(split).alias("term")).where(kept).join(perhaps, "term", "left_semi")
+    long = materialised(long.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("cnt")), "bags")
+    return long.join(materialised(enough(long), "terms"), "term", "left_semi").select(doc, "term", "cnt")

@@ -194,6 +194,18 @@ def test_classes_of_characters(spark):
     assert chars.where(strict != clean_strict(F.col("c"))).count() == 0
 
 
+def test_rare_terms_of_a_bag_do_not_move(spark, monkeypatch):
+    rows = [(1, "common once"), (1, "common twice"), (None, "common shared"), (None, "shared"), (3, "shared rare0"), *((i, f"common rare{i % 5}x rare{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(4, 99))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen, made = {}, words.materialised
+    monkeypatch.setattr(words, "materialised", lambda df, label: seen.update({label: made(df, label)}) or seen[label])
+    got = {(r.doc_id, r.term): r.cnt for r in words.bag_of_words(docs, min_share=0.03).collect()}
+    assert {r.term for r in seen["bags"].select("term").distinct().collect()} <= {"common", "rare", "shared", "rarex"}
+    counts = collections.Counter((d, w) for d, t in rows for w in re.sub("[^a-z]", " ", t).split() if len(w) >= 4)
+    held = collections.Counter(w for _, w in counts)
+    assert got == {k: n for k, n in counts.items() if held[k[1]] >= 0.03 * len(rows)}
+
+
 def test_profiles(spark):
     df = spark.createDataFrame([(1.0,), (None,), (4.0,)], "v double")
     assert sorted(r.v for r in profile.impute_mean(df, ["v"]).collect()) == [1.0, 2.5, 4.0]
