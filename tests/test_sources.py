@@ -93,6 +93,31 @@ def test_graph_drop_out_and_repeated_edges(spark, put):
     assert graph.pagerank(edges.limit(0), rounds=2).count() == 0
 
 
+def test_ranks_over_lists_of_targets(spark, monkeypatch):
+    """A round joins one row for a list of targets; nulls, repeated edges and targets in many lists count as they did edge by edge."""
+    monkeypatch.setattr(graph, "LIST", 4)
+    rows = [(s, d) for s in range(6) for d in range(9) if (s * d) % 4 != 3] * 2 + [(0, None), (None, 1), (7, None), (7, 0)]
+    edges = spark.createDataFrame(rows, "src long, dst long")
+    links = {}
+    made = graph.materialised
+    monkeypatch.setattr(graph, "materialised", lambda df, label: links.update({label: made(df, label)}) or links[label])
+    for keep in (False, True):
+        rank = {s: 1.0 for s, _ in rows if s is not None}
+        clean = {(s, d) for s, d in rows if s is not None}
+        for _ in range(3):
+            got = collections.defaultdict(float)
+            for s, d in clean:
+                if s in rank:
+                    got[d] += rank[s] / sum(a == s for a, _ in clean)
+            rank = {d: 0.85 * g + 0.15 for d, g in got.items()}
+            if keep:
+                rank = {v: rank.get(v, 0.15) for e in clean for v in e if v is not None} | ({None: 0.15} if None in got else {})
+        found = {r.node: r.rank for r in graph.pagerank(edges, rounds=3, keep_all=keep, cut_every=2).collect()}
+        assert found == {v: pytest.approx(r) for v, r in rank.items()}
+    lists = [r.targets for r in links["pagerank-links"].collect()]
+    assert 8 < len(lists) < len(clean) and sum(map(len, lists)) == len(clean)
+
+
 def test_neighbours(spark):
     edges = spark.createDataFrame([(1, 3), (1, 2), (2, 1), (1, 2)], "src long, dst long")
     assert {r.side: r.nodes for r in graph.neighbours(edges, 1).collect()} == {"successors": "[2, 3]", "predecessors": "[2]"}
